@@ -11,12 +11,14 @@ Two forms of the same features:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelscope.functions import script
+from fidelscope.functions.once import let, with_fields
 from fidelscope.functions.text import feature_tokens
 
 ROW_FORM_MAX_TERMS = 200_000
@@ -133,31 +135,44 @@ def count_terms(df: DataFrame, terms: Sequence[str], column: str = "processed")
     """Row form: add ``term_counts`` (a sparse vector over ``terms``)."""
     if len(terms) > ROW_FORM_MAX_TERMS:
         raise ValueError(f"{len(terms)} terms are too many for the row form; use term_freq/tfidf")
-    counter = CountVectorizerModel.from_vocabulary(
-        list(terms), inputCol="_tokens", outputCol="term_counts"
-    )
+    counter = _term_counter(df.sparkSession.sparkContext.applicationId, tuple(terms))
     return counter.transform(df.withColumn("_tokens", feature_tokens(column))).drop("_tokens")
 
 
-def weigh_terms(df: DataFrame, idf_values: Sequence[float]) -> DataFrame:
-    """Row form: turn ``term_counts`` into arrays ``indices`` and ``weights`` (L2-normalised).
+@lru_cache(maxsize=4)
+def _term_counter(application: str, terms: tuple[str, ...]) -> CountVectorizerModel:
+    """Handing a vocabulary to the JVM takes seconds, so models in use are kept."""
+    return CountVectorizerModel.from_vocabulary(
+        list(terms), inputCol="_tokens", outputCol="term_counts"
+    )
 
-    A row without known terms gets empty arrays.
-    """
+
+def row_weights(counts: Column, idf_values: Sequence[float]) -> Column:
+    """Struct ``indices, weights`` (tf·idf, L2-normalised) of an unwrapped count vector."""
     idfs = literal_doubles(idf_values)
     raw = F.zip_with(
-        F.col("_counts.indices"), F.col("_counts.values"),
-        lambda i, tf: tf * F.element_at(idfs, i + 1),
+        counts["indices"], counts["values"], lambda i, tf: tf * F.element_at(idfs, i + 1)
     )
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, w: total + w * w))
-    keep = [c for c in df.columns if c != "term_counts"]
-    return (
-        df.withColumn("_counts", F.unwrap_udt("term_counts"))
-        .withColumn("_raw", raw)
-        .withColumn("_norm", norm)
-        .select(
-            *keep,
-            F.col("_counts.indices").alias("indices"),
-            F.transform("_raw", lambda w: w / F.col("_norm")).alias("weights"),
-        )
+
+    def norm(weights: Column) -> Column:
+        return F.sqrt(F.aggregate(weights, F.lit(0.0), lambda total, w: total + w * w))
+
+    return let(
+        raw,
+        lambda weights: let(
+            norm(weights),
+            lambda length: F.struct(
+                counts["indices"].alias("indices"),
+                F.transform(weights, lambda w: w / length).alias("weights"),
+            ),
+        ),
     )
+
+
+def weigh_terms(df: DataFrame, idf_values: Sequence[float]) -> DataFrame:
+    """Row form: turn ``term_counts`` into arrays ``indices`` and ``weights``.
+
+    A row without known terms gets empty arrays.
+    """
+    weighed = let(F.unwrap_udt("term_counts"), lambda counts: row_weights(counts, idf_values))
+    return with_fields(df, weighed, "term_counts")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
@@ -12,14 +14,16 @@ from pyspark.sql import functions as F
 
 from fidelscope.functions import labels as lb
 from fidelscope.functions import script
+from fidelscope.functions.once import let, with_fields
 from fidelscope.operators.features import (
     count_terms,
     feature_tokens,
     literal_doubles,
-    weigh_terms,
+    row_weights,
 )
 from fidelscope.operators.model import TextModel
 
+PARALLEL_FITS = 3
 
 def feature_vectors(
     df: DataFrame, terms: Sequence[str], idf: Sequence[float], column: str = "processed"
@@ -81,15 +85,20 @@ def fit_ovr(
         first, second = classes
         weights = fit(second, balanced[first])
         return classes, [[-w for w in weights], weights]
-    return classes, [fit(k, 1.0) for k in classes]
+    # The fits are independent jobs over the same cached rows; Spark runs them side by side.
+    with ThreadPool(min(len(classes), PARALLEL_FITS)) as pool:
+        one = inheritable_thread_target(df.sparkSession)(lambda k: fit(k, 1.0))
+        return classes, pool.map(one, classes)
 
 
-def class_scores(model: TextModel) -> Column:
-    """Array of decision values, in class order, from the row form ``indices, weights``."""
+def class_scores(weighed: Column, model: TextModel) -> Column:
+    """Array of decision values, in class order, from a struct ``indices, weights``."""
 
     def score(coef: Sequence[float], intercept: float) -> Column:
         weights = literal_doubles(coef)
-        terms = F.zip_with("indices", "weights", lambda i, w: w * F.element_at(weights, i + 1))
+        terms = F.zip_with(
+            weighed["indices"], weighed["weights"], lambda i, w: w * F.element_at(weights, i + 1)
+        )
         return F.lit(float(intercept)) + F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
 
     return F.array(*(score(w, b) for w, b in zip(model.coef, model.intercept, strict=True)))
@@ -104,16 +113,31 @@ def best_class(scores: Column, classes: Sequence[int]) -> Column:
 def predict(df: DataFrame, model: TextModel, column: str = "processed") -> DataFrame:
     """Add ``nnz`` (known terms), ``scores``, ``prediction`` and ``label`` to cleaned texts.
 
-    No shuffle and no Python: counting, weighting and scoring happen on the row.
+    No shuffle and no Python: counting, weighting and scoring happen on the row, once.
     """
-    weighed = weigh_terms(count_terms(df, model.terms, column), model.idf)
-    return (
-        weighed.withColumn("nnz", F.size("indices").cast("bigint"))
-        .withColumn("scores", class_scores(model))
-        .drop("indices", "weights")
-        .withColumn("prediction", best_class(F.col("scores"), model.classes))
-        .withColumn("label", lb.label_name("prediction"))
+
+    def outcome(counts: Column, scores: Column) -> Column:
+        best = best_class(scores, model.classes)
+        return let(
+            best,
+            lambda code: F.struct(
+                F.size(counts["indices"]).cast("bigint").alias("nnz"),
+                scores.alias("scores"),
+                code.alias("prediction"),
+                lb.label_name(code).alias("label"),
+            ),
+        )
+
+    result = let(
+        F.unwrap_udt("term_counts"),
+        lambda counts: let(
+            row_weights(counts, model.idf),
+            lambda weighed: let(
+                class_scores(weighed, model), lambda scores: outcome(counts, scores)
+            ),
+        ),
     )
+    return with_fields(count_terms(df, model.terms, column), result, "term_counts")
 
 
 def predict_long(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelscope.functions import script, urls
+from fidelscope.functions.once import with_computed
 
 HOSTS = ("t.me", "telegram.me")
 CHANNEL, POST, INVALID = "channel_or_group", "message", "invalid"
@@ -23,8 +24,7 @@ def route_targets(requests: DataFrame, strict_host: bool = False) -> DataFrame:
     The host test is a substring test; ``strict_host`` asks for the host itself (or ``www.``).
     Integers are ASCII digits with an optional sign, within BIGINT.
     """
-    parts = F.col("_parts")
-    seg, authority = parts["segments"], parts["authority"]
+    seg, authority = F.col("_segments"), F.col("_authority")
     if strict_host:
         known_host = F.regexp_replace(F.lower(authority), r"^www\.|:\d+$", "").isin(*HOSTS)
     else:
@@ -41,7 +41,10 @@ def route_targets(requests: DataFrame, strict_host: bool = False) -> DataFrame:
         .otherwise(F.lit(INVALID))
     )
     kind = F.coalesce(kind, F.lit(INVALID))
-    routed = requests.withColumn("_parts", urls.url_parts("url")).withColumn("target_type", kind)
+    parts = with_computed(
+        requests, _authority=urls.url_authority("url"), _segments=urls.url_segments("url")
+    )
+    routed = parts.withColumn("target_type", kind)
     is_channel, is_post = F.col("target_type") == CHANNEL, F.col("target_type") == POST
     return (
         routed.withColumn(
@@ -52,7 +55,7 @@ def route_targets(requests: DataFrame, strict_host: bool = False) -> DataFrame:
         )
         .withColumn("identifier_is_numeric", is_channel & short_id)
         .withColumn("message_id", F.when(is_post, number))
-        .drop("_parts")
+        .drop("_authority", "_segments")
     )
 
 

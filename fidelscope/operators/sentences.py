@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelscope.functions import text as tx
+from fidelscope.functions.once import with_computed
 
 
 def non_blank(df: DataFrame, column: str = "processed") -> DataFrame:
@@ -24,6 +25,5 @@ def prepare_sentences(df: DataFrame, column: str = "text", **cleaning) -> DataFr
 
     The explode stands between splitting and cleaning, so each runs once, on plain strings.
     """
-    return non_blank(
-        explode_sentences(df, column).withColumn("processed", tx.clean_text("original", **cleaning))
-    )
+    cleaned = tx.clean_text("original", **cleaning)
+    return non_blank(with_computed(explode_sentences(df, column), processed=cleaned))

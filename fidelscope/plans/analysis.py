@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fidelscope.functions import script
 from fidelscope.functions import text as tx
+from fidelscope.functions.once import with_computed
 from fidelscope.operators import report as rp
 from fidelscope.operators import routing as rt
 from fidelscope.operators import threads as th
@@ -87,13 +88,12 @@ def score_threads(
         )
     )
     marked = F.concat(F.array(F.lit(None).cast("string")), tx.split_sentences("text"))
-    rows = (
-        texts.select(
-            *th.THREAD, "in_channel", "comment_id",
-            F.posexplode(marked).alias("sent_idx", "original"),
-        )
-        .withColumn("processed", tx.clean_text("original", **cleaning))
-        .where(F.col("original").isNull() | (F.col("processed") != ""))
+    sentences = texts.select(
+        *th.THREAD, "in_channel", "comment_id",
+        F.posexplode(marked).alias("sent_idx", "original"),
+    )
+    rows = with_computed(sentences, processed=tx.clean_text("original", **cleaning)).where(
+        F.col("original").isNull() | (F.col("processed") != "")
     )
     scored = predict(rows, model)
     real = F.col("original").isNotNull()

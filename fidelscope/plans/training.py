@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelscope.functions import script
+from fidelscope.functions.once import with_computed
 from fidelscope.functions.text import clean_text
 from fidelscope.operators.corpus import coerce_labels, stratified_split
 from fidelscope.operators.features import fit_vocabulary
@@ -18,6 +19,9 @@ from fidelscope.operators.sentences import non_blank
 from fidelscope.session import stage
 
 
+ROWS_PER_PARTITION = 5_000
+
+
 @dataclass(frozen=True)
 class TrainingConfig:
     test_share: float = script.TEST_SHARE
@@ -49,8 +53,8 @@ class TrainingResult:
 
 def prepare_corpus(corpus: DataFrame, cfg: TrainingConfig = TrainingConfig()) -> DataFrame:
     """Clean, drop blank texts, then coerce labels (so labels of blank texts do not matter)."""
-    cleaned = corpus.select("id", "label", clean_text("text", profile=cfg.profile).alias("processed"))
-    return non_blank(cleaned)
+    cleaned = with_computed(corpus, processed=clean_text("text", profile=cfg.profile))
+    return non_blank(cleaned).select("id", "label", "processed")
 
 
 def fit_model(train_part: DataFrame, cfg: TrainingConfig = TrainingConfig()) -> TextModel:
@@ -62,10 +66,10 @@ def fit_model(train_part: DataFrame, cfg: TrainingConfig = TrainingConfig()) ->
     if not words:
         raise ValueError("no term occurs often enough; the vocabulary is empty")
     terms, idf = [w["term"] for w in words], [w["idf"] for w in words]
+    # Every iteration is one job over these rows: few rows are better kept in few partitions.
+    parts = max(1, train_part.count() // ROWS_PER_PARTITION)
     rows = feature_vectors(train_part, terms, idf).select("features", "label")
-    cores = train_part.sparkSession.sparkContext.defaultParallelism
-    rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-    rows = rows.persist()
+    rows = rows.coalesce(parts).persist()
     try:
         classes, weights = fit_ovr(rows, max_iter=cfg.max_iter, tol=cfg.tol)
     finally:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fidelscope.session import spread
+
 CORPUS_SCHEMA = "id BIGINT, text STRING, label STRING"
 MESSAGE_SCHEMA = "chat_id BIGINT, message_id BIGINT, reply_to BIGINT, text STRING"
 CHAT_SCHEMA = "chat_id BIGINT, username STRING, kind STRING, title STRING, linked_chat_id BIGINT"
@@ -14,7 +16,7 @@ def _read(spark: SparkSession, path: str, schema: str, fmt: str, **options: str)
     if fmt == "csv":
         # Texts hold quotes and line breaks.
         options = {"header": "true", "multiLine": "true", "escape": '"', **options}
-    return spark.read.schema(schema).options(**options).format(fmt).load(path)
+    return spread(spark.read.schema(schema).options(**options).format(fmt).load(path))
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fidelscope.functions.once import with_computed
 from fidelscope.functions.text import clean_text
 from fidelscope.operators.features import fit_vocabulary
 from fidelscope.operators.model import INTERCEPT, TextModel
 from fidelscope.operators.sentences import non_blank
-from fidelscope.session import spread
+from fidelscope.session import spread, stage
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 FIDEL = "የደዐአምይገጣእጀኀለመናላፐከቀሰበተቸወፈሩዘ"
@@ -48,7 +49,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled corpus ``id, text, label`` with codes as text."""
     label = F.when(F.col("toxic") == 1, "1").when(F.col("quality") == 0, "2").otherwise("0")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     return joined.select(
         F.col("doc_id").alias("id"), fidel("text").alias("text"), label.alias("label")
@@ -57,9 +58,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, processed, label`` of the non-blank corpus texts."""
-    return non_blank(
-        corpus(spark, sf_dir).select("id", "label", clean_text("text").alias("processed"))
-    )
+    cleaned = with_computed(corpus(spark, sf_dir), processed=clean_text("text"))
+    return non_blank(cleaned).select("id", "label", "processed")
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def coefficient(term: Column, cls: Column) -> Column:
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary of the labelled corpus: ``idx, term, df, cf, idf``."""
-    return fit_vocabulary(clean_corpus(spark, sf_dir))
+    return fit_vocabulary(stage(clean_corpus(spark, sf_dir)))
 
 
 def coefficients(vocab: DataFrame) -> DataFrame:

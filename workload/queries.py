@@ -384,7 +384,7 @@ def f5_idf(spark, sf):
     return inputs.vocabulary(spark, sf).select("term", "df", r6("idf").alias("idf"))
 
 
-def row_weights(spark, sf) -> DataFrame:
+def weighed_corpus(spark, sf) -> DataFrame:
     words = sorted(inputs.vocabulary(spark, sf).select("idx", "term", "idf").collect())
     counted = ft.count_terms(inputs.clean_corpus(spark, sf), [w.term for w in words])
     weighed = ft.weigh_terms(counted, [w.idf for w in words])
@@ -394,7 +394,7 @@ def row_weights(spark, sf) -> DataFrame:
 @query
 def f6_tfidf(spark, sf):
     entry = F.explode(F.arrays_zip("indices", "weights")).alias("e")
-    return row_weights(spark, sf).select("id", "_terms", entry).select(
+    return weighed_corpus(spark, sf).select("id", "_terms", entry).select(
         "id", F.element_at("_terms", F.col("e.indices") + 1).alias("term"),
         r6("e.weights").alias("weight"),
     )
