@@ -23,7 +23,7 @@ from fidelscope.operators.features import (
 )
 from fidelscope.operators.model import TextModel
 
-PARALLEL_FITS = 3
+SIDE_BY_SIDE_ROWS = 1_000_000
 
 def feature_vectors(
     df: DataFrame, terms: Sequence[str], idf: Sequence[float], column: str = "processed"
@@ -53,7 +53,8 @@ def fit_ovr(
 
     For class *i* its own rows weigh ``n / (k·n_i)`` and all others 1; the loss is their
     weighted sum with ``1/(2c)·|w|²``, which is ``regParam = 1/(c·Σ weights)`` in Spark's mean
-    form.  Two classes need one fit, weighted on both sides.  Cache ``df`` beforehand.
+    form.  Two classes need one fit, weighted on both sides.  ``df`` should have a short lineage
+    (a written table); the fit caches its rows itself.
     """
     sizes = {r[column]: r["n"] for r in df.groupBy(column).agg(F.count("*").alias("n")).collect()}
     classes, n = tuple(sorted(sizes)), sum(sizes.values())
@@ -85,8 +86,9 @@ def fit_ovr(
         first, second = classes
         weights = fit(second, balanced[first])
         return classes, [[-w for w in weights], weights]
-    # The fits are independent jobs over the same cached rows; Spark runs them side by side.
-    with ThreadPool(min(len(classes), PARALLEL_FITS)) as pool:
+    # Each fit keeps its own copy of the rows, and a large one fills the cluster: only small
+    # ones, which mostly wait for the next iteration, run side by side.
+    with ThreadPool(len(classes) if n <= SIDE_BY_SIDE_ROWS else 1) as pool:
         one = inheritable_thread_target(df.sparkSession)(lambda k: fit(k, 1.0))
         return classes, pool.map(one, classes)
 

@@ -53,6 +53,16 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that many short jobs read, such as the rows of an iterative fit."""
+    context, folder = df.sparkSession.sparkContext, checkpoint_folder(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core.
 

@@ -90,7 +90,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     chat = conv % 10
     moved = (turn > 0) & (F.col("role") == "user") & (conv % 2 == 0)
-    return table(spark, sf_dir, "conversations").select(
+    turns = spread(table(spark, sf_dir, "conversations"))
+    return turns.select(
         F.when(moved, chat + 100).otherwise(chat).alias("chat_id"),
         (conv * 10 + turn).alias("message_id"),
         F.when(turn > 0, conv * 10).alias("reply_to"),
