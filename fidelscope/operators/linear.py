@@ -22,8 +22,11 @@ from fidelscope.operators.features import (
     row_weights,
 )
 from fidelscope.operators.model import TextModel
+from fidelscope.session import cut_lineage
 
+ROWS_PER_PARTITION = 5_000
 SIDE_BY_SIDE_ROWS = 1_000_000
+ZERO_ROW_SHARE = 0.01
 
 def feature_vectors(
     df: DataFrame, terms: Sequence[str], idf: Sequence[float], column: str = "processed"
@@ -53,34 +56,49 @@ def fit_ovr(
 
     For class *i* its own rows weigh ``n / (k·n_i)`` and all others 1; the loss is their
     weighted sum with ``1/(2c)·|w|²``, which is ``regParam = 1/(c·Σ weights)`` in Spark's mean
-    form.  Two classes need one fit, weighted on both sides.  ``df`` should have a short lineage
-    (a written table); the fit caches its rows itself.
+    form.  Two classes need one fit, weighted on both sides.  Every iteration is one job whose
+    tasks carry the lineage, so it is cut first, and few rows are kept in few partitions.
+
+    Spark gives a column without variance no weight, which would lose the constant behind the
+    features.  One added row of zeros gives it variance: its margin is 0 under any weights, so
+    it adds a constant to the loss and leaves the solution as it is.
     """
     sizes = {r[column]: r["n"] for r in df.groupBy(column).agg(F.count("*").alias("n")).collect()}
     classes, n = tuple(sorted(sizes)), sum(sizes.values())
     if len(classes) < 2:
         raise ValueError(f"training needs at least two classes, found {list(classes)}")
     balanced = {k: n / (len(sizes) * m) for k, m in sizes.items()}
+    vectors = df.select("features", F.col(column).cast("int").alias("_class"))
+    width = vectors.first()["features"].size
+    zero_row = df.sparkSession.createDataFrame(
+        [(Vectors.sparse(width, {}), None)], vectors.schema
+    )
+    rows = cut_lineage(
+        vectors.unionByName(zero_row).coalesce(max(1, n // ROWS_PER_PARTITION))
+    )
 
     def fit(positive: int, rest: float) -> list[float]:
-        own = F.col(column) == positive
+        own = F.col("_class").eqNullSafe(positive)
         total = balanced[positive] * sizes[positive] + rest * (n - sizes[positive])
+        weight = (
+            F.when(own, balanced[positive])
+            .when(F.col("_class").isNull(), ZERO_ROW_SHARE * total)
+            .otherwise(rest)
+        )
         regression = LogisticRegression(
             labelCol="_target",
             weightCol="_weight",
             maxIter=max_iter,
             tol=tol,
-            regParam=1.0 / (c * total),
+            regParam=1.0 / (c * total * (1.0 + ZERO_ROW_SHARE)),
             elasticNetParam=0.0,
             standardization=False,
             fitIntercept=False,
         )
-        rows = df.select(
-            "features",
-            own.cast("double").alias("_target"),
-            F.when(own, balanced[positive]).otherwise(rest).alias("_weight"),
+        weighted = rows.select(
+            "features", own.cast("double").alias("_target"), weight.alias("_weight")
         )
-        return regression.fit(rows).coefficients.toArray().tolist()
+        return regression.fit(weighted).coefficients.toArray().tolist()
 
     if len(classes) == 2:
         first, second = classes

@@ -16,10 +16,7 @@ from fidelscope.operators.linear import feature_vectors, fit_ovr, predict
 from fidelscope.operators.metrics import accuracy, classification_report, confusion_matrix
 from fidelscope.operators.model import TextModel
 from fidelscope.operators.sentences import non_blank
-from fidelscope.session import cut_lineage, stage
-
-
-ROWS_PER_PARTITION = 5_000
+from fidelscope.session import stage
 
 
 @dataclass(frozen=True)
@@ -66,12 +63,8 @@ def fit_model(train_part: DataFrame, cfg: TrainingConfig = TrainingConfig()) ->
     if not words:
         raise ValueError("no term occurs often enough; the vocabulary is empty")
     terms, idf = [w["term"] for w in words], [w["idf"] for w in words]
-    # Every iteration is one job, and its tasks carry the lineage: it is cut here, and few rows
-    # are kept in few partitions.
-    parts = max(1, train_part.count() // ROWS_PER_PARTITION)
-    vectors = feature_vectors(train_part, terms, idf).select("features", "label")
-    rows = cut_lineage(vectors.coalesce(parts))
-    classes, weights = fit_ovr(rows, max_iter=cfg.max_iter, tol=cfg.tol)
+    vectors = feature_vectors(train_part, terms, idf)
+    classes, weights = fit_ovr(vectors, max_iter=cfg.max_iter, tol=cfg.tol)
     return TextModel(
         classes,
         tuple(terms),
