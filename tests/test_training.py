@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fidelscope.functions.labels import label_name
 from fidelscope.operators import corpus, features, linear, metrics
-from fidelscope.operators.model import TextModel
+from tests_model import small_model
 from fidelscope.plans.training import TrainingConfig, train
 from fidelscope.sources.models import load_model, save_model
 
@@ -130,11 +130,6 @@ def test_two_classes(spark, labelled):
         linear.fit_ovr(rows.where("label = 0"))
 
 
-def small_model():
-    return TextModel(
-        (0, 1, 2), ("ሰላም", "ስድብ", "ጥላቻ"), (1.0, 1.5, 2.0),
-        ((1.0, -1.0, -1.0), (-1.0, 0.5, 1.0), (-1.0, 1.0, 0.5)), (0.25, 0.25, 0.1),
-    )
 
 
 def test_predict(spark):
