@@ -54,32 +54,52 @@ def resolve_requests(requests: DataFrame, chats: DataFrame) -> DataFrame:
     return rt.resolve_chats(routed, chats).withColumn("target", F.when(usable, target))
 
 
+def message_keys(wanted: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages of the chats asked for and their linked chats, texts cut to one character.
+
+    That is enough to know which message has a text.  Limits, posts and comment sources are
+    found on this slim table, and whole texts are read for scoring only.
+    """
+    chats = wanted.select(F.explode(F.array("chat_id", "linked_chat_id")).alias("chat_id"))
+    return messages.select(
+        *th.THREAD, "reply_to", F.substring("text", 1, 1).alias("text")
+    ).join(chats.where(F.col("chat_id").isNotNull()).distinct(), "chat_id", "left_semi")
+
+
 def score_threads(
-    channels: DataFrame, posts: DataFrame, messages: DataFrame, model: TextModel, **cleaning
+    channels: DataFrame,
+    posts: DataFrame,
+    keys: DataFrame,
+    messages: DataFrame,
+    model: TextModel,
+    **cleaning,
 ) -> DataFrame:
     """Score every text that some target needs, once.
 
-    ``channels (chat_id, linked_chat_id, floor_id)`` holds one row per chat, ``posts (chat_id,
+    ``keys`` comes from :func:`message_keys`, ``channels (chat_id, linked_chat_id, floor_id)`` holds one row per chat, ``posts (chat_id,
     message_id, linked_chat_id)`` the posts.  One row per sentence, and one with a null
     ``original`` per text so that texts without a sentence still count.
     """
     widest = channels.select("chat_id", "linked_chat_id", "floor_id")
-    heads = (
-        th.with_text(messages)
-        .join(widest, "chat_id")
-        .where(F.col("message_id") >= F.col("floor_id"))
-        .select(*th.THREAD, "linked_chat_id", "text")
-    )
+
+    def heads_in(table: DataFrame) -> DataFrame:
+        return (
+            th.with_text(table)
+            .join(widest, "chat_id")
+            .where(F.col("message_id") >= F.col("floor_id"))
+        )
+
     parents = (
-        heads.select(*th.THREAD, "linked_chat_id", F.lit(True).alias("in_channel"))
+        heads_in(keys)
+        .select(*th.THREAD, "linked_chat_id", F.lit(True).alias("in_channel"))
         .unionByName(
             posts.select(*th.THREAD, "linked_chat_id", F.lit(False).alias("in_channel"))
         )
         .groupBy(*th.THREAD, "linked_chat_id")
         .agg(F.max("in_channel").alias("in_channel"))
     )
-    sources = th.comment_sources(parents, messages, keep=["in_channel"])
-    texts = heads.select(
+    sources = th.comment_sources(parents, keys, keep=["in_channel"])
+    texts = heads_in(messages).select(
         *th.THREAD, F.lit(True).alias("in_channel"), F.lit(None).cast("bigint").alias("comment_id"),
         "text",
     ).unionByName(
@@ -187,7 +207,7 @@ def analyze(
 ) -> Report:
     """Run every request of ``requests (request_id, url, message_limit)``.
 
-    Requests for the same target share one result.  The targets and the scored sentences are
+    Requests for the same target share one result.  Targets, message keys and scored sentences are
     materialised, since several outputs read them; their sizes are then known, so that joins
     broadcast the target side only while it is small.
     """
@@ -197,7 +217,8 @@ def analyze(
         "target", "target_type", "chat_id", "linked_chat_id", "message_id", "message_limit"
     ).distinct()
     limits = shared.where(F.col("target_type") == rt.CHANNEL).select("chat_id", "message_limit")
-    floors = th.recent_floors(messages, limits).select(
+    keys = stage(message_keys(wanted, messages))
+    floors = th.recent_floors(keys, limits).select(
         "chat_id",
         F.col("message_limit").alias("_limit"),
         F.coalesce("floor_id", F.lit(_OLDEST)).alias("floor_id"),
@@ -220,9 +241,9 @@ def analyze(
         targets.where(F.col("target_type") == rt.POST).select(
             *th.THREAD, "linked_chat_id"
         ).distinct(),
-        messages,
+        keys,
     )
-    scored = stage(score_threads(channels, posts, messages, model, **cleaning))
+    scored = stage(score_threads(channels, posts, keys, messages, model, **cleaning))
     counts = stage(_target_counts(targets, _per_message(scored)))
     samples = stage(_target_samples(targets, scored))
 
