@@ -98,9 +98,14 @@ def stratified_split(
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     order = F.struct(digest.alias("digest"), F.col(key).alias("key"))
     rows = df.select(column, order.alias("order"), F.substring(digest, 1, 4).alias("bucket"))
-    cutoffs = rank_cutoffs(rows, takes, [column]).select(column, "cutoff")
-    part = F.when(order <= F.col("cutoff"), "test").otherwise("train")
-    return df.join(cutoffs, column, "left").withColumn("part", part).drop("cutoff")
+    # One row per label: as constants they need no join on a key with a handful of values.
+    cutoffs = rank_cutoffs(rows, takes, [column]).select(column, "cutoff").collect()
+    part = F.lit("train")
+    for label, last in cutoffs:
+        own_key = F.lit(last["key"]).cast(df.schema[key].dataType)
+        limit = F.struct(F.lit(last["digest"]).alias("digest"), own_key.alias("key"))
+        part = F.when((F.col(column) == label) & (order <= limit), "test").otherwise(part)
+    return df.withColumn("part", part)
 
 
 def class_weights(df: DataFrame, column: str = "label") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import restated
 from fidelscope.functions import script, text
 
+# Demo texts with their cleaned form and sentences.
 DEMO = [
     ("ይህ በጣም ጥሩ ጽሑፍ ነው! https://example.com #አማርኛ #ጥሩ", "ጽሑፍ",
      ["ይህ በጣም ጥሩ ጽሑፍ ነው!", "https://example.com #አማርኛ #ጥሩ"]),
