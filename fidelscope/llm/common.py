@@ -88,5 +88,26 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def python_frame(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches bounded by bytes as well as by rows, unless the session has its
+    own bound: a few very long texts then never meet in one batch."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1), "2147483647b"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df.mapInArrow(function, schema)
+
+
+def sample_by_class(rows: DataFrame, label: str, per_class: int, seed: str) -> DataFrame:
+    """About ``per_class`` rows of each class at most, chosen by a hash of their text."""
+    share = rows.groupBy(label).agg(
+        F.least(F.lit(1.0), F.lit(float(per_class)) / F.count("*")).alias("_share")
+    )
+    place = F.crc32(F.concat(F.lit(seed), "text").cast("binary")) / float(1 << 32)
+    return rows.join(share, label).where(place < F.col("_share")).drop("_share")
+
+
+def labelled(docs: DataFrame, label: str, parts: int = 4, held_out: int = 2) -> DataFrame:
+    """``text`` and ``label`` of the rows that a model may learn from."""
+    return docs.where(
+        (fold(F.col("doc_id"), parts) != held_out) & F.col(label).isNotNull() & F.col("text").isNotNull()
+    ).select("text", label)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, url_filter
-from fidelscope.llm.common import table
+from fidelscope.llm import exact_dedup, language_id, toxicity, url_filter
+from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,29 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+# --- 6: toxicity -------------------------------------------------------------------------
+
+TOXIC_FROM = 0.3
+
+
+@query
+def op6_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "worst_word",
+    )
+
+
+# --- 7: language identification ----------------------------------------------------------
+
+
+@query
+def op7_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return language_id.predict(docs, language_id.fit(docs)).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
