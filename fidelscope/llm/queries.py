@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, toxicity, url_filter
+from fidelscope.llm import exact_dedup, language_id, packing, quality, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,59 @@ def op7_language_id(spark, sf):
     return language_id.predict(docs, language_id.fit(docs)).select(
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+# --- 3: packing --------------------------------------------------------------------------
+
+
+@query
+def op3_packing(spark, sf):
+    return packing.digests(packing.pack(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+# --- 8: quality rules --------------------------------------------------------------------
+
+
+@query
+def op8_quality(spark, sf):
+    return quality.judge(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "covered_words",
+    )
+
+
+ORACLES["op8_quality"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), places AS (
+  SELECT doc_id, n, i, array_to_string(words[i : i + n - 1], ' ') AS part
+  FROM w, (VALUES (5), (10), (101)) AS t(n), unnest(range(1, len(words) - n + 2)) AS u(i)
+), again AS (
+  SELECT doc_id, n, i FROM places
+  QUALIFY count(*) OVER (PARTITION BY doc_id, n, part) > 1
+), found AS (
+  SELECT doc_id, count(DISTINCT i + j) FILTER (n = 5) AS in_windows,
+         count(DISTINCT i + j) FILTER (n = 10) AS covered, bool_or(n = 101) AS long
+  FROM again, unnest(range(0, n)) AS v(j) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (
+    SELECT doc_id, line, count(*) AS n
+    FROM w, unnest(string_split(text, chr(10))) AS l(line)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line
+  ) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, len(words) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         coalesce(in_windows, 0) AS n_repeat_words, coalesce(covered, 0) AS covered_words,
+         coalesce(long, false) AS long,
+         len(words) < 10 OR 100 * coalesce(in_windows, 0) > 20 * len(words) AS base_failed
+  FROM w LEFT JOIN found USING (doc_id) LEFT JOIN lines USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * covered_words <= 15 * n_words AND NOT long AS kept, covered_words
+FROM counts
+"""
