@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, packing, quality, toxicity, url_filter
+from fidelscope.llm import exact_dedup, language_id, near_dedup, packing, quality, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND 100 * covered_words <= 15 * n_words AND NOT long AS kept, covered_words
 FROM counts
 """
+
+
+# --- 2: near duplicates ------------------------------------------------------------------
+
+
+@query
+def op2_near_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, shingle=3, percent=85).drop("row")
+
+
+ORACLES["op2_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(words) - 1, least(len(words), 1) + 1))) AS u(i)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), linked AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
+"""
