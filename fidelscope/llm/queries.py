@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, near_dedup, packing, quality, toxicity, url_filter
+from fidelscope.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,51 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
+
+
+# --- 5: mixing sources -------------------------------------------------------------------
+
+
+@query
+def op5_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).rows.drop("row")
+
+
+ORACLES["op5_mixing"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY source
+), shares AS (
+  SELECT source, tokens, tokens / (SELECT sum(tokens) FROM s) AS p FROM s WHERE tokens > 0
+), ends AS (SELECT max(p) AS most, min(p) AS least FROM shares
+), bisect(i, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN pow(least / most, (low + high) / 2 - 1) <= 2 THEN low ELSE (low + high) / 2 END,
+         CASE WHEN pow(least / most, (low + high) / 2 - 1) <= 2 THEN (low + high) / 2 ELSE high END
+  FROM bisect, ends WHERE i < 20
+), weighed AS (
+  SELECT source, tokens, pow(p, high) / sum(pow(p, high)) OVER () AS weight
+  FROM shares, bisect WHERE i = 20
+), plan AS (
+  SELECT source, s.tokens, CAST(round(coalesce(
+           weight * (SELECT max(tokens / weight) FROM weighed), 0)) AS BIGINT) AS budget
+  FROM s LEFT JOIN weighed USING (source)
+), copies AS (
+  SELECT *, md5('mix|' || copy || '|' || doc_id) AS key
+  FROM (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole FROM plan)
+  JOIN t USING (source), unnest(range(0, whole + 1)) AS c(copy)
+), ranked AS (
+  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, copy ORDER BY key) AS BIGINT) AS upto
+  FROM copies
+)
+SELECT doc_id, source, n_tokens, copy,
+       CASE WHEN budget > 0 THEN least((copy * tokens + upto - n_tokens) * 64 // budget, 63) ELSE 0
+       END AS block
+FROM ranked WHERE copy < whole OR (upto <= budget - whole * tokens AND budget > whole * tokens)
+"""
