@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, toxicity, url_filter
+from fidelscope.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +209,15 @@ SELECT doc_id, source, n_tokens, copy,
        END AS block
 FROM ranked WHERE copy < whole OR (upto <= budget - whole * tokens AND budget > whole * tokens)
 """
+
+
+# --- 4: repeated substrings --------------------------------------------------------------
+
+
+@query
+def op4_substring_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
