@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from fidelscope.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,3 +221,12 @@ def op4_substring_dedup(spark, sf):
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+# --- 10: language-model scoring ----------------------------------------------------------
+
+
+@query
+def op10_lm_scoring(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs).withColumn("held_out", ~lm_scoring.training(F.col("doc_id")))
