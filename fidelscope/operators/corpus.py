@@ -38,7 +38,8 @@ def corpus_stats(df: DataFrame, column: str = "processed") -> DataFrame:
 def coerce_labels(df: DataFrame, column: str = "label") -> DataFrame:
     """Turn labels into integer codes; the column as a whole decides how.
 
-    If every label is a number they are codes already, otherwise every label must be a name.
+    If every label is a number they are codes already, and each must be one of the three;
+    otherwise every label must be a name.
     One aggregate over the column; the first rule that no row breaks is applied.
     """
     label = F.col(column).cast("string")
@@ -48,7 +49,15 @@ def coerce_labels(df: DataFrame, column: str = "label") -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(whole).alias("codes"),
         F.count_if(lb.label_code(label).isNotNull()).alias("names"),
+        F.count_if(~number.isin(*script.LABEL_NAMES)).alias("odd"),
+        F.min(F.when(~number.isin(*script.LABEL_NAMES), number)).alias("least"),
+        F.max(F.when(~number.isin(*script.LABEL_NAMES), number)).alias("most"),
     ).first()
+    if seen.codes == seen.n and seen.odd:
+        raise ValueError(
+            f"{seen.odd} labels from {seen.least:g} to {seen.most:g} are none of the codes"
+            f" {sorted(script.LABEL_NAMES)}"
+        )
     if seen.codes == seen.n:
         return df.withColumn(column, number.cast("int"))
     if seen.names == seen.n:
@@ -90,7 +99,12 @@ def stratified_split(
     counts = {r[column]: r["n"] for r in df.groupBy(column).agg(F.count("*").alias("n")).collect()}
     if not counts:
         raise ValueError("no rows to split")
+    if min(counts.values()) < 2:
+        raise ValueError(f"a label has a single row: {counts}")
     quotas = split_quotas(counts, test_share)
+    tested = sum(quotas.values())
+    if min(tested, sum(counts.values()) - tested) < len(counts):
+        raise ValueError(f"a part of the split has fewer rows than there are labels: {quotas}")
     takes = df.sparkSession.createDataFrame(
         [(c, q) for c, q in sorted(quotas.items()) if q],
         f"{column} {df.schema[column].dataType.simpleString()}, take BIGINT",

@@ -3,9 +3,11 @@
 Two forms of the same features:
 
 * *row form* – counts and weights of a row as arrays beside the row.  A row is weighted where
-  it lies, without a shuffle; needs a vocabulary that fits every task (``ROW_FORM_MAX_TERMS``).
+  it lies, without a shuffle; every task holds the vocabulary, so it is for bounded ones.
 * *long form* – one line per row and term, joined to the vocabulary.  Works for vocabularies
   of any size, which Spark broadcasts or shuffles by their actual size.
+
+The caller chooses the form; nothing switches by size.
 """
 
 from __future__ import annotations
@@ -21,9 +23,6 @@ from fidelscope.functions import script
 from fidelscope.functions.once import let, with_fields
 from fidelscope.functions.text import feature_tokens
 
-ROW_FORM_MAX_TERMS = 200_000
-
-
 def term_freq(df: DataFrame, key: str = "id", column: str = "processed") -> DataFrame:
     """Long-form counts ``key, term, tf``.
 
@@ -133,8 +132,6 @@ def literal_strings(values: Sequence[str]) -> Column:
 
 def count_terms(df: DataFrame, terms: Sequence[str], column: str = "processed") -> DataFrame:
     """Row form: add ``term_counts`` (a sparse vector over ``terms``)."""
-    if len(terms) > ROW_FORM_MAX_TERMS:
-        raise ValueError(f"{len(terms)} terms are too many for the row form; use term_freq/tfidf")
     counter = _term_counter(df.sparkSession.sparkContext.applicationId, tuple(terms))
     return counter.transform(df.withColumn("_tokens", feature_tokens(column))).drop("_tokens")
 

@@ -24,10 +24,9 @@ from fidelscope.operators.features import (
 from fidelscope.operators.model import TextModel
 from fidelscope.session import cut_lineage
 
-ROWS_PER_PARTITION = 5_000
-SIDE_BY_SIDE_ROWS = 1_000_000
 ZERO_ROW_SHARE = 0.01
 
+
 def feature_vectors(
     df: DataFrame, terms: Sequence[str], idf: Sequence[float], column: str = "processed"
 ) -> DataFrame:
@@ -51,13 +50,18 @@ def fit_ovr(
     max_iter: int = script.MAX_ITER,
     tol: float = 1e-6,
     c: float = 1.0,
+    width: int | None = None,
+    partitions: int | None = None,
+    parallelism: int | None = None,
 ) -> tuple[tuple[int, ...], list[list[float]]]:
     """One logistic regression per class on ``features``; returns classes and weight rows.
 
     For class *i* its own rows weigh ``n / (k·n_i)`` and all others 1; the loss is their
     weighted sum with ``1/(2c)·|w|²``, which is ``regParam = 1/(c·Σ weights)`` in Spark's mean
     form.  Two classes need one fit, weighted on both sides.  Every iteration is one job whose
-    tasks carry the lineage, so it is cut first, and few rows are kept in few partitions.
+    tasks carry the lineage, so it is cut first.  ``partitions`` of the rows after that are the
+    session's parallelism if not given; ``parallelism`` is the number of fits side by side, all
+    if not given (each keeps its own copy of the rows); ``width`` saves a job to learn it.
 
     Spark gives a column without variance no weight, which would lose the constant behind the
     features.  One added row of zeros gives it variance: its margin is 0 under any weights, so
@@ -69,13 +73,12 @@ def fit_ovr(
         raise ValueError(f"training needs at least two classes, found {list(classes)}")
     balanced = {k: n / (len(sizes) * m) for k, m in sizes.items()}
     vectors = df.select("features", F.col(column).cast("int").alias("_class"))
-    width = vectors.first()["features"].size
+    width = width or vectors.first()["features"].size
     zero_row = df.sparkSession.createDataFrame(
         [(Vectors.sparse(width, {}), None)], vectors.schema
     )
-    rows = cut_lineage(
-        vectors.unionByName(zero_row).coalesce(max(1, n // ROWS_PER_PARTITION))
-    )
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+    rows = cut_lineage(vectors.unionByName(zero_row)).coalesce(partitions)
 
     def fit(positive: int, rest: float) -> list[float]:
         own = F.col("_class").eqNullSafe(positive)
@@ -104,9 +107,7 @@ def fit_ovr(
         first, second = classes
         weights = fit(second, balanced[first])
         return classes, [[-w for w in weights], weights]
-    # Each fit keeps its own copy of the rows, and a large one fills the cluster: only small
-    # ones, which mostly wait for the next iteration, run side by side.
-    with ThreadPool(len(classes) if n <= SIDE_BY_SIDE_ROWS else 1) as pool:
+    with ThreadPool(parallelism or len(classes)) as pool:
         one = inheritable_thread_target(df.sparkSession)(lambda k: fit(k, 1.0))
         return classes, pool.map(one, classes)
 
@@ -180,19 +181,19 @@ def predict_long(
     )
     known = vocab.select("term", "idf").join(wide, "term", "left")
     placed = df.select(key, column).repartition(key)
-    # Every row sends a null term, so that rows without known terms keep their intercepts.
-    words = F.concat(F.array(F.lit(None).cast("string")), feature_tokens(column))
     counted = (
-        placed.select(key, F.explode(words).alias("term"))
+        placed.select(key, F.explode(feature_tokens(column)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
-    raw = counted.join(known, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
-    summed = raw.groupBy(key).agg(
+    raw = counted.join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    sums = raw.groupBy(key).agg(
         F.count("w").alias("nnz"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
         *(F.sum(F.col("w") * F.col(f"_w{c}")).alias(f"_s{c}") for c in classes),
     )
+    # Only known terms meet the vocabulary; rows without any keep their intercepts.
+    summed = df.select(key).join(sums, key, "left").fillna(0, ["nnz"])
     scores = F.array(
         *(
             F.lit(float(intercepts[c])) + F.coalesce(F.col(f"_s{c}") / F.col("_norm"), F.lit(0.0))

@@ -29,6 +29,16 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
     return df.agg(F.avg(hit.cast("double")).alias("accuracy"))
 
 
+def known_pairs(df: DataFrame, label: str, prediction: str, classes: Sequence[int]) -> DataFrame:
+    """Pair counts; a label or prediction outside ``classes`` is an error when they are read."""
+    named = F.col("label").isin(*classes) & F.col("prediction").isin(*classes)
+    problem = F.raise_error(F.concat(
+        F.lit(f"classes are {list(classes)}, found label "), F.col("label").cast("string"),
+        F.lit(", prediction "), F.col("prediction").cast("string")))
+    checked = F.when(F.coalesce(named, F.lit(False)), F.col("n")).otherwise(problem.cast("bigint"))
+    return pair_counts(df, label, prediction).withColumn("n", checked)
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -42,9 +52,9 @@ def classification_report(
     """``name, precision, recall, f1, support`` per class, then accuracy and both averages.
 
     A class that never occurs has zero support; divisions by zero give 0.  The accuracy row
-    holds the value in all three measures.
+    holds the value in all three measures.  A class outside ``classes`` is an error.
     """
-    pairs = pair_counts(df, label, prediction)
+    pairs = known_pairs(df, label, prediction, classes)
     true, predicted, n = F.col("label"), F.col("prediction"), F.col("n")
 
     def rows_where(condition: Column) -> Column:
@@ -112,9 +122,9 @@ def confusion_matrix(
 ) -> DataFrame:
     """``label, predicted_0, predicted_1, …``: rows are true classes, columns predictions.
 
-    Every class of ``classes`` has a row and a column.
+    Every class of ``classes`` has a row and a column; any other class is an error.
     """
-    pairs = pair_counts(df, label, prediction)
+    pairs = known_pairs(df, label, prediction, classes)
     cells = F.array(
         *(
             F.struct(

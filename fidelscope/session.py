@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -28,27 +27,29 @@ def build_session(app: str = "fidelscope", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared checkpoint folder; a temporary one only in local mode."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only in local mode.
+
+    A cluster session without ``spark.checkpoint.dir`` is an error: what a job stages must outlive
+    executors, and no machine's own disk does.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="fidelscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder or None
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Materialise a frame that several outputs read.
 
     It is written once, as Parquet, to the checkpoint folder: later reads prune columns, know
-    its size (so join sides are broadcast only when small) and survive lost executors.  On a
-    cluster without such a folder it is persisted instead and recomputed where lost.
+    its size (so join sides are broadcast only when small) and survive lost executors.
     """
     spark = df.sparkSession
-    folder = checkpoint_folder(spark)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,18 +57,6 @@ def stage(df: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint a frame that many short jobs read, such as the rows of an iterative fit."""
     context, folder = df.sparkSession.sparkContext, checkpoint_folder(df.sparkSession)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
-
-    A large table has far more splits than cores and passes unchanged; one small file would
-    otherwise be cleaned by a single task.  Call it on a plain scan only.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

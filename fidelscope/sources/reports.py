@@ -15,7 +15,8 @@ def write_report(report: Report, path: str, fmt: str = "parquet", mode: str = "o
     """
 
     def write(table: DataFrame, name: str) -> None:
-        table.sortWithinPartitions("request_id").write.mode(mode).format(fmt).save(f"{path}/{name}")
+        near = table.repartitionByRange("request_id").sortWithinPartitions("request_id")
+        near.write.mode(mode).format(fmt).save(f"{path}/{name}")
 
     write(report.overview, "overview")
     write(report.summary, "summary")

@@ -16,10 +16,12 @@ from fidelscope.functions.text import clean_text
 from fidelscope.operators.features import fit_vocabulary
 from fidelscope.operators.model import INTERCEPT, TextModel
 from fidelscope.operators.sentences import non_blank
-from fidelscope.session import spread, stage
+from fidelscope.session import stage
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 FIDEL = "የደዐአምይገጣእጀኀለመናላፐከቀሰበተቸወፈሩዘ"
+#: Words that no given text holds after transliteration.
+UNKNOWN = "ቐቐ ቓቓ"
 INTERCEPTS = {0: 0.05, 1: -0.02, 2: 0.0}
 
 
@@ -27,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The given tables are single files of one split; their texts are dealt out to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fidel(col: str | Column) -> Column:
     return F.translate(F.lower(col), LATIN, FIDEL)
 
@@ -62,6 +69,13 @@ def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return non_blank(cleaned).select("id", "label", "processed")
 
 
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, processed`` of all documents with something left after cleaning."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").alias("id"), fidel("text").alias("text"))
+    return non_blank(with_computed(rows, processed=clean_text("text"))).select("id", "processed")
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") % 10).alias("chat_id")
@@ -83,7 +97,12 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Talk "), chat).alias("title"),
         F.lit(None).cast("bigint").alias("linked_chat_id"),
     )
-    return main.unionByName(groups)
+    quiet = ids.limit(1).select(
+        F.lit(200).cast("bigint").alias("chat_id"), F.lit("quiet").alias("username"),
+        F.lit("Channel").alias("kind"), F.lit("Quiet").alias("title"),
+        F.lit(None).cast("bigint").alias("linked_chat_id"),
+    )
+    return main.unionByName(groups).unionByName(quiet)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +110,26 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chat = conv % 10
     moved = (turn > 0) & (F.col("role") == "user") & (conv % 2 == 0)
     turns = spread(table(spark, sf_dir, "conversations"))
+    # Beside all given turns: blank messages, some threads of unknown words, a channel of blanks.
+    third, fifth = conv % 3 == 0, conv % 5 == 0
+    more = F.filter(F.array(*(
+        F.struct(
+            F.when(keep, F.lit(place).cast("bigint") if place else chat).alias("chat_id"),
+            (conv * 10 + number).alias("message_id"),
+            (conv * 10 + reply if reply else F.lit(None).cast("bigint")).alias("reply_to"),
+            F.lit(text).alias("text"),
+        )
+        for keep, place, number, reply, text in (
+            (F.lit(True), 0, 9, 0, ""), (third, 0, 8, 0, UNKNOWN), (third, 0, 10_000_007, 8, UNKNOWN),
+            (fifth, 200, 6, 0, ""),
+        )
+    )), lambda m: m["chat_id"].isNotNull())
     return turns.select(
         F.when(moved, chat + 100).otherwise(chat).alias("chat_id"),
         (conv * 10 + turn).alias("message_id"),
         F.when(turn > 0, conv * 10).alias("reply_to"),
-        F.when(F.col("role") == "system", "").otherwise(fidel("text")).alias("text"),
-    )
+        fidel("text").alias("text"),
+    ).unionByName(turns.where(turn == 0).select(F.inline(more)))
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +151,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("https://t.me/c/"), n % 11))
         .when(kind == 3, F.concat(F.lit("http://telegram.me/Chan"), chan, F.lit("/?x=1")))
         .when(kind == 4, F.concat(F.lit("https://t.me/chan"), chan, F.lit("/"), post))
-        .when(kind == 5, F.concat(F.lit("https://t.me/s/chan"), chan, F.lit("/"), post, F.lit("#c")))
+        .when(kind == 5, F.concat(
+            F.lit("https://t.me/s/chan"), chan, F.lit("/"),
+            post + F.when(n % 6 == 0, 8).when(n % 3 == 1, 9).otherwise(0), F.lit("#c")))
         .when(kind == 6, F.concat(F.lit("t.me/chan"), chan))
         .when(kind == 7, "")
         .when(kind == 8, F.concat(F.lit("https://t.me/chan"), chan, F.lit("?u=facebook.com/")))
         .when(kind == 9, F.concat(F.lit("https://t.me/c/"), F.lit("x"), chan))
         .when(kind == 10, F.concat(F.lit("https://www.foot.me/chan"), chan, F.lit(";p")))
+        .when(n % 2 == 0, "https://t.me/quiet")
         .otherwise(F.concat(F.lit("https://t.me/lost"), n))
     )
     by_limit = F.col("page_id") % 7

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fidelscope.functions import script
-from workload.inputs import FIDEL, INTERCEPTS, LATIN
+from workload.inputs import FIDEL, INTERCEPTS, LATIN, UNKNOWN
 
 
 def lit(value: str) -> str:
@@ -101,6 +101,9 @@ CORPUS = f"""corpus AS (
 CLEAN_CORPUS = f"""{CORPUS}, clean_corpus AS (
   SELECT * FROM (SELECT id, label, {clean("text")} AS processed FROM corpus)
   WHERE processed <> '')"""
+CLEAN_DOCS = f"""clean_docs AS (
+  SELECT * FROM (SELECT doc_id AS id, {clean(fidel("text"))} AS processed FROM documents)
+  WHERE processed <> '')"""
 CHATS = """ids AS (SELECT DISTINCT conv_id % 10 AS chat_id FROM conversations),
 chats AS (
   SELECT chat_id, 'chan' || chat_id AS username,
@@ -109,14 +112,26 @@ chats AS (
     CASE WHEN chat_id % 2 = 0 THEN chat_id + 100 END AS linked
   FROM ids
   UNION ALL
-  SELECT chat_id + 100, NULL, 'Chat', NULL FROM ids WHERE chat_id % 2 = 0)"""
+  SELECT chat_id + 100, NULL, 'Chat', NULL FROM ids WHERE chat_id % 2 = 0
+  UNION ALL
+  SELECT 200, 'quiet', 'Channel', NULL FROM (SELECT 1 FROM ids LIMIT 1))"""
 MSGS = f"""msgs AS (
   SELECT CASE WHEN turn > 0 AND role = 'user' AND conv_id % 2 = 0 THEN conv_id % 10 + 100
               ELSE conv_id % 10 END AS chat_id,
     conv_id * 10 + turn AS message_id,
     CASE WHEN turn > 0 THEN conv_id * 10 END AS reply_to,
-    CASE WHEN role = 'system' THEN '' ELSE {fidel("text")} END AS text
-  FROM conversations)"""
+    {fidel("text")} AS text
+  FROM conversations
+  UNION ALL
+  SELECT conv_id % 10, conv_id * 10 + 9, NULL, '' FROM conversations WHERE turn = 0
+  UNION ALL
+  SELECT conv_id % 10, conv_id * 10 + 8, NULL, {lit(UNKNOWN)} FROM conversations
+  WHERE turn = 0 AND conv_id % 3 = 0
+  UNION ALL
+  SELECT conv_id % 10, conv_id * 10 + 10000007, conv_id * 10 + 8, {lit(UNKNOWN)} FROM conversations
+  WHERE turn = 0 AND conv_id % 3 = 0
+  UNION ALL
+  SELECT 200, conv_id * 10 + 6, NULL, '' FROM conversations WHERE turn = 0 AND conv_id % 5 = 0)"""
 THREADS = f"""{CHATS}, {MSGS}, threads AS (
   SELECT m.chat_id, m.message_id, CASE WHEN c.kind = 'Channel' THEN c.linked END AS linked, m.text
   FROM msgs m JOIN chats c ON m.chat_id = c.chat_id WHERE m.reply_to IS NULL)"""
@@ -128,13 +143,15 @@ REQUESTS = """requests AS (
       WHEN 2 THEN 'https://t.me/c/' || (n % 11)
       WHEN 3 THEN 'http://telegram.me/Chan' || (n % 10) || '/?x=1'
       WHEN 4 THEN 'https://t.me/chan' || (n % 10) || '/' || (n * 10)
-      WHEN 5 THEN 'https://t.me/s/chan' || (n % 10) || '/' || (n * 10) || '#c'
+      WHEN 5 THEN 'https://t.me/s/chan' || (n % 10) || '/' ||
+        (n * 10 + CASE WHEN n % 6 = 0 THEN 8 WHEN n % 3 = 1 THEN 9 ELSE 0 END) || '#c'
       WHEN 6 THEN 't.me/chan' || (n % 10)
       WHEN 7 THEN ''
       WHEN 8 THEN 'https://t.me/chan' || (n % 10) || '?u=facebook.com/'
       WHEN 9 THEN 'https://t.me/c/x' || (n % 10)
       WHEN 10 THEN 'https://www.foot.me/chan' || (n % 10) || ';p'
-      ELSE 'https://t.me/lost' || n END AS url,
+      ELSE CASE WHEN n % 2 = 0 THEN 'https://t.me/quiet' ELSE 'https://t.me/lost' || n END
+    END AS url,
     CASE page_id % 7 WHEN 0 THEN 'all' WHEN 1 THEN '5' WHEN 2 THEN 'ALL' WHEN 3 THEN '12'
       WHEN 4 THEN 'abc' WHEN 5 THEN '-5' END AS message_limit
   FROM (SELECT *, page_id // 12 AS n FROM pages))"""
@@ -324,10 +341,14 @@ def samples(source: str, key: str, order: str) -> str:
 
 SUMMARY_SQL = f"WITH {REPORT} {summary('counts', 'request_id')}"
 CORPUS_SQL = f"WITH {CORPUS} SELECT id, text, label FROM corpus"
-TFIDF_SQL = f"""WITH {VOCAB}
+DOC_TF = f"""{CLEAN_DOCS}, doc_tf AS (
+  SELECT id, term, count(*) AS tf
+  FROM (SELECT id, unnest({feature_tokens("processed")}) AS term FROM clean_docs)
+  GROUP BY id, term)"""
+TFIDF_SQL = f"""WITH {VOCAB}, {DOC_TF}
   SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight
-  FROM (SELECT id, term, tf * idf AS w FROM tf JOIN vocab USING (term))"""
-PREDICT_SQL = f"""WITH {VOCAB}, {scored("clean_corpus", "id", cleaned=True)}
+  FROM (SELECT id, term, doc_tf.tf * idf AS w FROM doc_tf JOIN vocab USING (term))"""
+PREDICT_SQL = f"""WITH {VOCAB}, {CLEAN_DOCS}, {scored("clean_docs", "id", cleaned=True)}
   SELECT id, nnz, round(s0, 6) AS score_0, round(s1, 6) AS score_1, round(s2, 6) AS score_2,
     prediction, label FROM scored"""
 LABELS_SQL = f"WITH {CLEAN_CORPUS}"
@@ -337,6 +358,10 @@ ORACLES = {
     "s1_read_corpus_json": CORPUS_SQL,
     "s1_read_corpus_csv": CORPUS_SQL,
     "s2_read_messages": f"WITH {MSGS} SELECT chat_id, message_id, reply_to, text FROM msgs",
+    "s3_read_chats": f"""WITH {CHATS} SELECT chat_id, username, kind,
+      CASE WHEN chat_id = 200 THEN 'Quiet' WHEN chat_id < 100 THEN 'Chat ' || chat_id
+        ELSE 'Talk ' || (chat_id - 100) END AS title, linked AS linked_chat_id FROM chats""",
+    "r0_read_requests": f"WITH {REQUESTS} SELECT request_id, url, message_limit FROM requests",
     "s3_resolve_chats": f"""WITH {RESOLVED}
       SELECT request_id, identifier, chat_id, kind, linked AS linked_chat_id, chat_status
       FROM resolved""",
@@ -429,9 +454,9 @@ ORACLES = {
     "t15_prepare_sentences": f"""WITH {DOCS}, cut AS (SELECT id, {sentences("text")} AS s FROM docs),
       rows AS (SELECT id, unnest(range(len(s))) AS sent_idx, unnest(s) AS original FROM cut)
       SELECT * FROM (SELECT *, {clean("original")} AS processed FROM rows) WHERE processed <> ''""",
-    "f1_feature_tokens": f"""WITH {CLEAN_CORPUS}
-      SELECT id, array_to_string({feature_tokens("processed")}, ' ') AS tokens FROM clean_corpus""",
-    "f2_term_freq": f"WITH {VOCAB} SELECT id, term, tf FROM tf",
+    "f1_feature_tokens": f"""WITH {CLEAN_DOCS}
+      SELECT id, array_to_string({feature_tokens("processed")}, ' ') AS tokens FROM clean_docs""",
+    "f2_term_freq": f"WITH {DOC_TF} SELECT id, term, tf FROM doc_tf",
     "f3_doc_freq": f"WITH {VOCAB} SELECT term, df, cf FROM df",
     "f4_vocabulary": f"""WITH {VOCAB}
       SELECT row_number() OVER (ORDER BY term) - 1 AS idx, term, cf

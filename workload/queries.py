@@ -70,6 +70,20 @@ def s1_read_corpus_csv(spark, sf):
     return tables.read_corpus(spark, path, "csv")
 
 
+@query
+def s3_read_chats(spark, sf):
+    path = fresh_path(spark, "chats")
+    inputs.chats(spark, sf).write.parquet(path)
+    return tables.read_chats(spark, path)
+
+
+@query
+def r0_read_requests(spark, sf):
+    path = fresh_path(spark, "requests")
+    inputs.requests(spark, sf).write.parquet(path)
+    return tables.read_requests(spark, path)
+
+
 @query
 def s2_read_messages(spark, sf):
     path = fresh_path(spark, "messages")
@@ -357,14 +371,14 @@ def t15_prepare_sentences(spark, sf):
 
 @query
 def f1_feature_tokens(spark, sf):
-    return inputs.clean_corpus(spark, sf).select(
+    return inputs.clean_documents(spark, sf).select(
         "id", F.array_join(ft.feature_tokens("processed"), " ").alias("tokens")
     )
 
 
 @query
 def f2_term_freq(spark, sf):
-    return ft.term_freq(inputs.clean_corpus(spark, sf))
+    return ft.term_freq(inputs.clean_documents(spark, sf))
 
 
 @query
@@ -386,7 +400,7 @@ def f5_idf(spark, sf):
 
 def weighed_corpus(spark, sf) -> DataFrame:
     words = sorted(inputs.vocabulary(spark, sf).select("idx", "term", "idf").collect())
-    counted = ft.count_terms(inputs.clean_corpus(spark, sf), [w.term for w in words])
+    counted = ft.count_terms(inputs.clean_documents(spark, sf), [w.term for w in words])
     weighed = ft.weigh_terms(counted, [w.idf for w in words])
     return weighed.withColumn("_terms", ft.literal_strings([w.term for w in words]))
 
@@ -403,7 +417,7 @@ def f6_tfidf(spark, sf):
 @query
 def f6_tfidf_long(spark, sf):
     weights = ft.tfidf(
-        ft.term_freq(inputs.clean_corpus(spark, sf)), inputs.vocabulary(spark, sf)
+        ft.term_freq(inputs.clean_documents(spark, sf)), inputs.vocabulary(spark, sf)
     )
     return weights.select("id", "term", r6("weight").alias("weight"))
 
@@ -479,7 +493,7 @@ def m8_fit_ovr(spark, sf):
 
 @query
 def m9_predict(spark, sf):
-    scored = ln.predict(inputs.clean_corpus(spark, sf).drop("label"), inputs.model(spark, sf))
+    scored = ln.predict(inputs.clean_documents(spark, sf), inputs.model(spark, sf))
     return prediction_rows(scored)
 
 
@@ -487,7 +501,7 @@ def m9_predict(spark, sf):
 def m9_predict_long(spark, sf):
     vocab = inputs.vocabulary(spark, sf)
     scored = ln.predict_long(
-        inputs.clean_corpus(spark, sf), vocab, inputs.coefficients(vocab), inputs.INTERCEPTS
+        inputs.clean_documents(spark, sf), vocab, inputs.coefficients(vocab), inputs.INTERCEPTS
     )
     return prediction_rows(scored)
 
