@@ -38,8 +38,7 @@ def corpus_stats(df: DataFrame, column: str = "processed") -> DataFrame:
 def coerce_labels(df: DataFrame, column: str = "label") -> DataFrame:
     """Turn labels into integer codes; the column as a whole decides how.
 
-    If every label is a number they are codes already, and each must be one of the three;
-    otherwise every label must be a name.
+    If every label is a number they are codes already, otherwise every label must be a name.
     One aggregate over the column; the first rule that no row breaks is applied.
     """
     label = F.col(column).cast("string")
@@ -49,15 +48,7 @@ def coerce_labels(df: DataFrame, column: str = "label") -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(whole).alias("codes"),
         F.count_if(lb.label_code(label).isNotNull()).alias("names"),
-        F.count_if(~number.isin(*script.LABEL_NAMES)).alias("odd"),
-        F.min(F.when(~number.isin(*script.LABEL_NAMES), number)).alias("least"),
-        F.max(F.when(~number.isin(*script.LABEL_NAMES), number)).alias("most"),
     ).first()
-    if seen.codes == seen.n and seen.odd:
-        raise ValueError(
-            f"{seen.odd} labels from {seen.least:g} to {seen.most:g} are none of the codes"
-            f" {sorted(script.LABEL_NAMES)}"
-        )
     if seen.codes == seen.n:
         return df.withColumn(column, number.cast("int"))
     if seen.names == seen.n:
@@ -68,6 +59,17 @@ def coerce_labels(df: DataFrame, column: str = "label") -> DataFrame:
     )
 
 
+def check_labels(df: DataFrame, column: str = "label") -> None:
+    """Raise for codes that have no name: the evaluation could not name their class."""
+    label = F.col(column)
+    odd = F.when(~label.isin(*script.LABEL_NAMES), label)
+    seen = df.agg(F.count(odd).alias("n"), F.min(odd).alias("least"), F.max(odd).alias("most")).first()
+    if seen.n:
+        raise ValueError(
+            f"{seen.n} labels from {seen.least} to {seen.most} are none of {sorted(script.LABEL_NAMES)}"
+        )
+
+
 def split_quotas(counts: dict[int, int], test_share: float = script.TEST_SHARE) -> dict[int, int]:
     """Test rows per label: ``ceil(share·n)`` in all, training shares by largest remainder.
 

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from fidelscope.operators.selection import rank_cutoffs
 
 ID_BLOCK = 65_536
-COMMENTS_PER_PART = 4_096
+#: Comments of a message in one array at least, before another part begins.
+PART_SIZE = 65_536
+#: Comments are counted by ranges of so many ids.
+ID_SPAN = 4_096
 THREAD = ["chat_id", "message_id"]
 
 
@@ -151,29 +154,27 @@ def comments_with_fallback(threads: DataFrame, messages: DataFrame) -> DataFrame
 
 
 def attach_comments(
-    messages: DataFrame, comments: DataFrame, span: int = COMMENTS_PER_PART
+    messages: DataFrame, comments: DataFrame, part_size: int = PART_SIZE, span: int = ID_SPAN
 ) -> DataFrame:
     """Messages with their comments, newest first: ``…, part, start, comments ARRAY<STRING>``.
 
-    A thread comes in parts, each with the comments of one range of ``span`` ids; ``start``
-    counts the comments in earlier parts.  Part 0 always exists, with an empty array where
-    there is no comment.  A usual thread is one part, and no array can outgrow a task however
-    many comments a message has: grouping is by message and range, and parts are numbered from
-    their sizes alone.
+    One row per message, unless it has more than ``part_size`` comments: then there are parts, cut
+    between ranges of ``span`` ids wherever another ``part_size`` comments have come together, so
+    that none outgrows a task.  ``start`` counts the comments in earlier parts.  Part 0 always
+    exists, with an empty array where there is no comment.
     """
     ranged = comments.withColumn("block", F.floor(F.col("comment_id") / F.lit(span)))
     newest_first = Window.partitionBy(*THREAD).orderBy(F.desc("block"))
     sizes = ranged.groupBy(*THREAD, "block").agg(F.count("*").alias("n"))
-    numbered = sizes.select(
-        *THREAD,
-        "block",
-        (F.row_number().over(newest_first) - 1).cast("bigint").alias("part"),
-        (F.sum("n").over(newest_first) - F.col("n")).alias("start"),
+    counted = sizes.select(
+        *THREAD, "block", (F.sum("n").over(newest_first) - F.col("n")).alias("start")
     )
+    portion = Window.partitionBy(*THREAD).orderBy(F.floor(F.col("start") / F.lit(part_size)))
+    numbered = counted.withColumn("part", (F.dense_rank().over(portion) - 1).cast("bigint"))
     arrays = (
-        ranged.groupBy(*THREAD, "block")
-        .agg(F.collect_list(F.struct("comment_id", "text")).alias("found"))
-        .join(numbered, [*THREAD, "block"])
+        ranged.join(numbered, [*THREAD, "block"])
+        .groupBy(*THREAD, "part")
+        .agg(F.min("start").alias("start"), F.collect_list(F.struct("comment_id", "text")).alias("found"))
         .select(*THREAD, "part", "start", F.sort_array("found", asc=False)["text"].alias("comments"))
     )
     heads = messages.select(*THREAD, F.col("text").alias("message_text"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelscope.functions import script
@@ -142,11 +142,15 @@ def _target_counts(targets: DataFrame, per_message: DataFrame) -> DataFrame:
     comment = F.col("is_comment")
     channel = targets.where(F.col("target_type") == rt.CHANNEL)
     post = targets.where(F.col("target_type") == rt.POST)
-    in_channel = (
-        per_message.where("in_channel")
-        .join(channel.select("target", "chat_id", "floor_id"), "chat_id")
-        .where(F.col("message_id") >= F.col("floor_id"))
-        .groupBy("target")
+    # A chat's floors are steps; a message counts for the highest step below it, and a target gets
+    # the sum over its own and all newer steps: as many rows as messages and targets.
+    steps = channel.groupBy("chat_id").agg(F.array_sort(F.collect_set("floor_id")).alias("steps"))
+    below = F.filter("steps", lambda step: step <= F.col("message_id"))
+    totals = ("messages", "messages_with_comments", "comments", *_COUNTERS)
+    by_step = (
+        per_message.where("in_channel").join(steps, "chat_id")
+        .withColumn("floor_id", F.array_max(below)).where(F.col("floor_id").isNotNull())
+        .groupBy("chat_id", "floor_id")
         .agg(
             F.count_if(~comment).alias("messages"),
             F.count_if(comment).alias("messages_with_comments"),
@@ -155,6 +159,16 @@ def _target_counts(targets: DataFrame, per_message: DataFrame) -> DataFrame:
             F.max("known").alias("known"),
         )
     )
+    newer = Window.partitionBy("chat_id").orderBy(F.desc("floor_id"))
+    running = (
+        steps.select("chat_id", F.explode("steps").alias("floor_id"))
+        .join(by_step, ["chat_id", "floor_id"], "left")
+        .select("chat_id", "floor_id", *(F.sum(c).over(newer).alias(c) for c in totals),
+                F.max("known").over(newer).alias("known"))
+    )
+    in_channel = channel.select("target", "chat_id", "floor_id").join(
+        running.where(F.col("messages").isNotNull()), ["chat_id", "floor_id"]
+    ).select("target", *totals, "known")
     in_post = (
         per_message.where(comment)
         .join(post.select("target", *th.THREAD), th.THREAD)
@@ -247,7 +261,9 @@ def analyze(
     counts = stage(_target_counts(targets, _per_message(scored)))
     samples = stage(_target_samples(targets, scored))
 
-    joined = resolved.join(counts, "target", "left")
+    # Failed requests have no target and nothing to look up.
+    failed = resolved.where(F.col("target").isNull())
+    joined = wanted.join(counts, "target", "left").unionByName(failed, allowMissingColumns=True)
     overview = joined.select(
         "request_id", "url", "target_type",
         rp.request_status().alias("status"),

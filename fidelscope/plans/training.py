@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from fidelscope.functions import script
 from fidelscope.functions.once import with_computed
 from fidelscope.functions.text import clean_text
-from fidelscope.operators.corpus import coerce_labels, stratified_split
+from fidelscope.operators.corpus import (
+    check_labels,
+    coerce_labels,
+    corpus_stats,
+    label_distribution,
+    stratified_split,
+)
 from fidelscope.operators.features import fit_vocabulary
 from fidelscope.operators.linear import feature_vectors, fit_ovr, predict
 from fidelscope.operators.metrics import accuracy, classification_report, confusion_matrix
 from fidelscope.operators.model import TextModel
 from fidelscope.operators.sentences import non_blank
 from fidelscope.session import stage
+from fidelscope.sources.models import save_model
 
 
 @dataclass(frozen=True)
@@ -29,14 +36,22 @@ class TrainingConfig:
     max_iter: int = script.MAX_ITER
     tol: float = 1e-6
     profile: str = "ethiopic"
+    #: Partitions of the training rows, and fits side by side (see ``fit_ovr``).
+    partitions: int | None = None
+    parallelism: int | None = None
 
 
 @dataclass(frozen=True)
 class TrainingResult:
-    """The model and the predictions on the test part, with their evaluation."""
+    """The model and the predictions on the test part, with their evaluation.
+
+    ``labels`` counts the raw labels, ``stats`` the texts before and after cleaning.
+    """
 
     model: TextModel
     predictions: DataFrame
+    labels: DataFrame
+    stats: DataFrame
 
     def accuracy(self) -> DataFrame:
         return accuracy(self.predictions)
@@ -48,10 +63,14 @@ class TrainingResult:
         return confusion_matrix(self.predictions)
 
 
-def prepare_corpus(corpus: DataFrame, cfg: TrainingConfig = TrainingConfig()) -> DataFrame:
-    """Clean, drop blank texts, then coerce labels (so labels of blank texts do not matter)."""
+def clean_corpus(corpus: DataFrame, cfg: TrainingConfig = TrainingConfig()) -> DataFrame:
     cleaned = with_computed(corpus, processed=clean_text("text", profile=cfg.profile))
-    return non_blank(cleaned).select("id", "label", "processed")
+    return cleaned.select("id", "label", "processed")
+
+
+def prepare_corpus(corpus: DataFrame, cfg: TrainingConfig = TrainingConfig()) -> DataFrame:
+    """Clean and drop blank texts; labels of blank texts do not matter after that."""
+    return non_blank(clean_corpus(corpus, cfg))
 
 
 def fit_model(train_part: DataFrame, cfg: TrainingConfig = TrainingConfig()) -> TextModel:
@@ -64,7 +83,10 @@ def fit_model(train_part: DataFrame, cfg: TrainingConfig = TrainingConfig()) ->
         raise ValueError("no term occurs often enough; the vocabulary is empty")
     terms, idf = [w["term"] for w in words], [w["idf"] for w in words]
     vectors = feature_vectors(train_part, terms, idf)
-    classes, weights = fit_ovr(vectors, max_iter=cfg.max_iter, tol=cfg.tol)
+    classes, weights = fit_ovr(
+        vectors, max_iter=cfg.max_iter, tol=cfg.tol, width=len(terms) + 1,
+        partitions=cfg.partitions, parallelism=cfg.parallelism,
+    )
     return TextModel(
         classes,
         tuple(terms),
@@ -74,21 +96,28 @@ def fit_model(train_part: DataFrame, cfg: TrainingConfig = TrainingConfig()) ->
     )
 
 
-def train(corpus: DataFrame, cfg: TrainingConfig = TrainingConfig()) -> TrainingResult:
+def train(
+    corpus: DataFrame, cfg: TrainingConfig = TrainingConfig(), path: str | None = None
+) -> TrainingResult:
     """The whole job on ``corpus (id, text, label)``.
 
     The cleaned corpus is materialised once; everything after reads it.  The driver sees the
-    vocabulary, the weights and a few counts.
+    vocabulary, the weights and a few counts.  With ``path`` the model is saved there.
     """
-    cleaned = stage(prepare_corpus(corpus, cfg))
+    every = stage(clean_corpus(corpus, cfg))
+    cleaned = non_blank(every)
     if cleaned.isEmpty():
         raise ValueError("no usable text remains after cleaning")
-    split = stage(
-        stratified_split(coerce_labels(cleaned), cfg.test_share, cfg.seed)
-    )
+    coded = coerce_labels(cleaned)
+    check_labels(coded)
+    split = stage(stratified_split(coded, cfg.test_share, cfg.seed))
     model = fit_model(split.where(F.col("part") == "train"), cfg)
+    if path:
+        save_model(corpus.sparkSession, model, path)
     tested = predict(split.where(F.col("part") == "test").withColumnRenamed("label", "truth"), model)
     return TrainingResult(
         model,
         tested.select("id", F.col("truth").alias("label"), "prediction"),
+        label_distribution(every),
+        corpus_stats(every),
     )

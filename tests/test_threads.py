@@ -89,7 +89,7 @@ def test_hot_thread_is_whole_and_in_order(spark):
         F.lit(1).cast("long").alias("chat_id"), (F.col("id") * 3).alias("message_id"),
         F.lit(1).cast("long").alias("reply_to"), F.col("id").cast("string").alias("text"),
     )
-    nested = threads.attach_comments(heads, threads.own_comments(heads, messages), span=100)
+    nested = threads.attach_comments(heads, threads.own_comments(heads, messages), part_size=1, span=100)
     assert nested.agg(F.max(F.size("comments"))).first()[0] <= 100
     flat = threads.flatten_texts(nested).orderBy("text_idx").collect()
     assert [r.text_idx for r in flat] == list(range(n + 1))

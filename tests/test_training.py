@@ -182,3 +182,25 @@ def test_report_counts_absent_classes(spark):
     assert rows["hate"].support == 1 and abs(rows["accuracy"].f1 - 2 / 3) < 1e-12
     assert [tuple(r) for r in metrics.confusion_matrix(frame).collect()] == [
         (0, 1, 1, 0), (1, 0, 1, 0), (2, 0, 0, 0)]
+
+
+def test_training_refuses_classes_without_a_name(spark):
+    frame = spark.createDataFrame([(0,), (7,), (1,)], "label int")
+    with pytest.raises(ValueError, match="from 7 to 7"):
+        corpus.check_labels(frame)
+
+
+def test_split_preconditions(spark):
+    lonely = spark.createDataFrame([(i, int(i == 0)) for i in range(20)], "id bigint, label int")
+    with pytest.raises(ValueError, match="single row"):
+        corpus.stratified_split(lonely)
+    few = spark.createDataFrame([(i, i % 3) for i in range(6)], "id bigint, label int")
+    with pytest.raises(ValueError, match="fewer rows"):
+        corpus.stratified_split(few)
+
+
+def test_metrics_refuse_other_classes(spark):
+    pairs = spark.createDataFrame([(7, 0), (0, 0)], "label int, prediction int")
+    for table in (metrics.classification_report(pairs), metrics.confusion_matrix(pairs)):
+        with pytest.raises(Exception, match="found label 7"):
+            table.collect()

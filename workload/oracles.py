@@ -339,6 +339,19 @@ def samples(source: str, key: str, order: str) -> str:
       FROM {source}) WHERE rank <= 3"""
 
 
+def attached(part: str) -> str:
+    """Messages with their comments, newest first, in parts by rank."""
+    return f"""WITH {THREADS}, {HEADS}, {COMMENTS}, ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY chat_id, message_id ORDER BY comment_id DESC) AS rank
+        FROM comments), parts AS (
+        SELECT chat_id, message_id, {part} AS part, min(rank) - 1 AS start,
+          string_agg(comment, '␞' ORDER BY comment_id DESC) AS comments
+        FROM ranked GROUP BY ALL)
+      SELECT chat_id, message_id, text AS message_text, coalesce(comments, '') AS comments,
+        coalesce(part, 0)::BIGINT AS part, coalesce(start, 0)::BIGINT AS start
+      FROM parents LEFT JOIN parts USING (chat_id, message_id)"""
+
+
 SUMMARY_SQL = f"WITH {REPORT} {summary('counts', 'request_id')}"
 CORPUS_SQL = f"WITH {CORPUS} SELECT id, text, label FROM corpus"
 DOC_TF = f"""{CLEAN_DOCS}, doc_tf AS (
@@ -400,13 +413,8 @@ ORACLES = {
             ("j4_comments_with_fallback", "comments"),
         )
     },
-    "j5_attach_comments": f"""WITH {THREADS}, {HEADS}, {COMMENTS}, blocks AS (
-        SELECT chat_id, message_id, comment_id // 4096 AS block,
-          string_agg(comment, '␞' ORDER BY comment_id DESC) AS comments
-        FROM comments GROUP BY ALL)
-      SELECT chat_id, message_id, text AS message_text, coalesce(comments, '') AS comments,
-        row_number() OVER (PARTITION BY chat_id, message_id ORDER BY block DESC) - 1 AS part
-      FROM parents LEFT JOIN blocks USING (chat_id, message_id)""",
+    "j5_attach_comments": attached("0"),
+    "j5_attach_comments_in_parts": attached("(rank - 1) // 2"),
     "j6_thread_stats": f"""WITH {THREADS}, {HEADS}, {COMMENTS}
       SELECT chat_id, count(*) AS messages, count(n) AS messages_with_comments,
         coalesce(sum(n), 0)::BIGINT AS comments
@@ -414,6 +422,8 @@ ORACLES = {
         USING (chat_id, message_id) GROUP BY chat_id""",
     "j7_flatten_texts": f"""WITH {THREADS}, {HEADS}, {COMMENTS}, {FLAT}
       SELECT chat_id, message_id, text_idx::BIGINT AS text_idx, text FROM flat""",
+    "j7_flatten_texts_in_parts": f"""WITH {THREADS}, {HEADS}, {COMMENTS}, {FLAT}
+      SELECT chat_id, message_id, text_idx::BIGINT AS text_idx, text FROM flat""",
     "j8_post_texts": f"""WITH {THREADS}, {ALL_HEADS}, {COMMENTS}
       SELECT chat_id, message_id, comment_id, comment AS text FROM comments""",
     "t1_null_guard": f"""WITH {DOCS}, given AS (

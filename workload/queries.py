@@ -179,10 +179,10 @@ def r5_coerce_limit(spark, sf):
 # --- threads -----------------------------------------------------------------------------
 
 
-def nested(spark, sf) -> DataFrame:
+def nested(spark, sf, **parts: int) -> DataFrame:
     heads = th.with_text(inputs.threads(spark, sf))
     comments = th.comments_with_fallback(heads, inputs.messages(spark, sf))
-    return th.attach_comments(heads, comments)
+    return th.attach_comments(heads, comments, **parts)
 
 
 @query
@@ -211,14 +211,28 @@ def j4_comments_with_fallback(spark, sf):
     return th.comments_with_fallback(inputs.threads(spark, sf), inputs.messages(spark, sf))
 
 
-@query
-def j5_attach_comments(spark, sf):
-    return nested(spark, sf).select(
-        "chat_id", "message_id", "message_text", "part",
+def joined_comments(threads: DataFrame) -> DataFrame:
+    return threads.select(
+        "chat_id", "message_id", "message_text", "part", "start",
         F.array_join("comments", "␞").alias("comments"),
     )
 
 
+@query
+def j5_attach_comments(spark, sf):
+    return joined_comments(nested(spark, sf))
+
+
+@query
+def j5_attach_comments_in_parts(spark, sf):
+    return joined_comments(nested(spark, sf, part_size=2, span=1))
+
+
+@query
+def j7_flatten_texts_in_parts(spark, sf):
+    return th.flatten_texts(nested(spark, sf, part_size=2, span=1))
+
+
 @query
 def j6_thread_stats(spark, sf):
     return th.thread_stats(nested(spark, sf))
