@@ -97,15 +97,6 @@ def map_texts(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, seed: str) -> DataFrame:
-    """About ``per_class`` rows of each class at most, chosen by a hash of their text."""
-    share = rows.groupBy(label).agg(
-        F.least(F.lit(1.0), F.lit(float(per_class)) / F.count("*")).alias("_share")
-    )
-    place = F.crc32(F.concat(F.lit(seed), "text").cast("binary")) / float(1 << 32)
-    return rows.join(share, label).where(place < F.col("_share")).drop("_share")
-
-
 def labelled(docs: DataFrame, label: str, parts: int = 4, held_out: int = 2) -> DataFrame:
     """``text`` and ``label`` of the rows that a model may learn from."""
     return docs.where(

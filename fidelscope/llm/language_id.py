@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelscope.llm.common import labelled, map_texts, sample_by_class, slices
+from fidelscope.llm.common import labelled, map_texts, slices
 from fidelscope.session import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Java's letters and combining marks, as near to Python's as the counts need.
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 #: Bounds of the fitted model: rows sampled per language, languages, words, n-grams.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_WORDS, MAX_GRAMS = 20_000, 200, 200_000, 200_000
+ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_WORDS, MAX_GRAMS = 20_000, 200, 100_000, 100_000
 LONGEST_GRAM = 5
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
@@ -80,62 +80,73 @@ class LanguageModel:
 def fit(docs: DataFrame) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of the rows outside the held-out quarter.
 
-    At most about 20,000 rows per language are sampled, by a hash of the text; the 200 most
-    frequent languages and 200,000 words each over all languages are kept, and as many n-grams
-    of those words.  Words are counted in Spark.
+    At most about 20,000 rows per language are sampled, by a hash of the text, for the 200 most
+    frequent languages.  Words and n-grams are counted in Spark; the 100,000 most frequent of each
+    come to the driver.
     """
     rows = labelled(docs, "lang")
-    sample = sample_by_class(rows, "lang", ROWS_PER_LANGUAGE, "language")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in sizes)
+    none = np.zeros((0, len(languages)))
+    if not languages:
+        return LanguageModel([], {}, none, {}, none)
+    share = F.create_map(*(
+        F.lit(x) for r in sizes for x in (r["lang"], min(1.0, ROWS_PER_LANGUAGE / r["count"]))))
+    place = F.crc32(F.concat(F.lit("language"), "text").cast("binary")) / float(1 << 32)
+    sample = rows.where(place < share[F.col("lang")])
     words = F.explode(F.split(F.lower("text"), NOT_LETTERS))
     counts = stage(
         sample.select("lang", words.alias("word")).where("word <> ''").groupBy("lang", "word").count()
     )
-    totals = counts.groupBy("lang").agg(F.sum("count").alias("n"))
-    totals = totals.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in totals)
-    if not languages:
-        return LanguageModel([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    total = dict((r["lang"], r["n"]) for r in totals)
-    share = F.sum(F.col("count") / F.create_map(*(F.lit(x) for kv in total.items() for x in kv))[F.col("lang")])
-    pairs = F.map_from_entries(F.collect_list(F.struct("lang", "count")))
-    kept = (
-        counts.where(F.col("lang").isin(languages)).groupBy("word")
-        .agg(share.alias("share"), pairs.alias("counts"))
-        .orderBy(F.desc("share"), "word").limit(MAX_WORDS).collect()
+    total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
+    sums = np.array([total.get(name, 0) for name in languages], np.float64)
+    by_language = [F.sum(F.when(F.col("lang") == name, F.col("count")).otherwise(0)) for name in languages]
+    often = sum((n / F.lit(max(s, 1.0)) for n, s in zip(by_language, sums.tolist(), strict=True)), F.lit(0.0))
+    known = stage(
+        counts.groupBy("word").agg(F.array(*by_language).alias("counts"), often.alias("often"))
+        .orderBy(F.desc("often"), "word").limit(MAX_WORDS).select("word", "counts")
     )
-    column = {name: i for i, name in enumerate(languages)}
-    table = np.zeros((len(kept), len(languages)))
-    for i, row in enumerate(kept):
-        for name, n in row["counts"].items():
-            table[i, column[name]] = n
-    names = [row["word"] for row in kept]
-    known = dict(zip(names, range(len(names)), strict=True))
-    gram_names, gram_counts = count_grams(names, table)
-    sums = np.array([total[name] for name in languages], np.float64)
+    word_names, word_counts = read_counts(known, "word", len(languages))
+    gram_names, gram_counts = read_counts(count_grams(known, len(languages)), "gram", len(languages))
+    lengths = np.array([len(g) for g in gram_names], np.int64)
+    gram_logs = np.zeros_like(gram_counts)
+    for n in range(1, LONGEST_GRAM + 1):
+        of = lengths == n
+        gram_logs[of] = np.log((gram_counts[of] + 0.5) / (gram_counts[of].sum(axis=0) + 0.5 * max(1, of.sum())))
     return LanguageModel(
-        languages, known, np.log((table + 0.5) / (sums + 1.0)),
-        dict(zip(gram_names, range(len(gram_names)), strict=True)), gram_counts,
+        languages, numbered(word_names), np.log((word_counts + 0.5) / (sums + 1.0)), numbered(gram_names), gram_logs
     )
 
 
-def count_grams(words: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The most frequent n-grams of the known words; log frequency among those of their length."""
-    places: dict[str, list[int]] = {}
-    for i, word in enumerate(words):
-        text = f"<{word}>"
-        for n in range(1, LONGEST_GRAM + 1):
-            for at in range(len(text) - n + 1):
-                places.setdefault(text[at : at + n], []).append(i)
-    # A word's own weight is damped, so that frequent words do not drown the rest.
-    damped = np.sqrt(table)
-    kept = sorted(places, key=lambda g: (-len(places[g]), g))[:MAX_GRAMS]
-    counts = np.array([damped[places[g]].sum(axis=0) for g in kept])
-    lengths = np.array([len(g) for g in kept])
-    logs = np.empty_like(counts)
-    for n in range(1, LONGEST_GRAM + 1):
-        of = lengths == n
-        logs[of] = np.log((counts[of] + 0.5) / (counts[of].sum(axis=0) + 0.5 * max(1, of.sum())))
-    return kept, logs
+def numbered(names: list[str]) -> dict[str, int]:
+    return dict(zip(names, range(len(names)), strict=True))
+
+
+def read_counts(counted: DataFrame, name: str, languages: int) -> tuple[list[str], np.ndarray]:
+    """A bounded table of names and their counts per language."""
+    table = counted.select(name, F.col("counts").cast("array<double>")).toArrow()
+    flat = table["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table[name].to_pylist(), flat.reshape(-1, languages).astype(np.float64)
+
+
+def count_grams(known: DataFrame, languages: int) -> DataFrame:
+    """``gram, counts``: the n-grams of most known words.
+
+    A word's own counts are damped by the root, so that frequent words do not drown the rest.
+    """
+    text = F.concat(F.lit("<"), "word", F.lit(">"))
+    grams = F.flatten(F.array(*(
+        F.when(F.length(text) >= n, F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
+            lambda i, n=n: F.substring(text, i, F.lit(n)),
+        )).otherwise(F.array().cast("array<string>"))
+        for n in range(1, LONGEST_GRAM + 1)
+    )))
+    sums = F.array(*(F.sum(F.sqrt(F.col("counts")[i])) for i in range(languages)))
+    return (
+        known.select("counts", F.explode(grams).alias("gram")).groupBy("gram")
+        .agg(sums.alias("counts"), F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS)
+    )
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
