@@ -55,9 +55,10 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def grams(url: Column, order: int = ORDER) -> Column:
     """For each character, itself with the ``order`` characters before it."""
     padded = F.concat(F.lit(START * order), url)
-    return F.transform(
-        F.sequence(F.lit(1), F.length(url)), lambda i: F.substr(padded, i, F.lit(order + 1))
-    )
+    # A sequence from 1 to 0 would count down.
+    places = F.sequence(F.lit(1), F.greatest(F.length(url), F.lit(1)))
+    found = F.transform(places, lambda i: F.substr(padded, i, F.lit(order + 1)))
+    return F.when(F.length(url) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
 def train(counted: DataFrame, order: int = ORDER) -> DataFrame:
