@@ -10,8 +10,10 @@ import numpy as np
 #: into pieces never crosses these borders, so ids of the parts are ids of the whole.
 PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space in Python that the tokenizer's patterns may see otherwise: such texts go whole.
-ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-CACHE_PARTS = 800_000
+ODD = re.compile("[\x1c-\x1f\x85]")
+#: A text without other white space than single spaces and line breaks is cut by split().
+OTHER = re.compile("[^\\S \\n]")
+CACHE_PARTS = 1_600_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,6 +22,23 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def keys_of(text: str) -> list[str] | None:
+    """Parts of a text: ``word`` after a space, ``\\nword`` after a line break, `` word`` after
+    neither, and other white space behind a zero.  None for a text that must go whole."""
+    if not text:
+        return []
+    other = OTHER.search(text)
+    if other and ODD.search(text):
+        return None
+    if not other and "\n\n\n" not in text and not text[-2:].isspace():
+        keys = text.replace("\n", " \n").split(" ")
+        if "" not in keys:
+            keys[0] = f" {keys[0]}"
+            return keys
+    parts = PART.findall(text)
+    return [f"\0{p}" if p.isspace() else p[1:] if p[0] == " " else f" {p}" for p in parts]
+
+
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids; a special token's name is plain text."""
 
@@ -31,9 +50,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.newline = self.whole(["\n"])[0]
+        # Parts used lately, and those used before them; what is used again stays.
         self.cache: dict[str, bytes] = {}
-        newline = np.frombuffer(self.whole(["\n"])[0], "<u4")
-        self.newline = int(newline[0]) if len(newline) == 1 else -1
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -42,27 +62,40 @@ class Encoder:
     def lines(self, words: list[str]) -> list[bytes]:
         """Ids of words without line breaks, encoded as the lines of one text."""
         ids = np.frombuffer(self.whole(["\n".join(words)])[0], "<u4")
-        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-        if len(ends) != len(words):
+        end = np.frombuffer(self.newline, "<u4")
+        ends = np.append(np.flatnonzero(ids == end[0]), len(ids))
+        if len(end) != 1 or len(ends) != len(words):
             return self.whole(words)
         starts = np.append(0, ends[:-1] + 1)
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if ODD.search(t) else PART.findall(t) for t in texts]
-        present = set().union(*filter(None, parts))
-        missing = list(present - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_PARTS:
-            self.cache = {p: self.cache[p] for p in present if p in self.cache}
-        blank = [p for p in missing if p.isspace()]
-        self.cache.update(zip(blank, self.whole(blank), strict=True))
-        words = [p for p in missing if not p.isspace()]
+    def learn(self, keys: set[str]) -> None:
+        """Put the ids of all these parts into the cache."""
+        if len(self.cache) + len(keys) > CACHE_PARTS // 2:
+            self.older, self.cache = self.cache, {}
+        again = keys & self.older.keys()
+        self.cache.update((k, self.older[k]) for k in again)
+        keys = keys - again
+        blank = [k for k in keys if k[0] == "\0" or k == "\n"]
+        self.cache.update(zip(blank, self.whole([k.removeprefix("\0") for k in blank]), strict=True))
+        words = list(keys.difference(blank))
         for a in range(0, len(words), 2_000):
             some = words[a : a + 2_000]
-            self.cache.update(zip(some, self.lines(some), strict=True))
-        get = self.cache.__getitem__
+            found = self.lines([k[1:] if k[0] in " \n" else f" {k}" for k in some])
+            self.cache.update(
+                (k, self.newline + ids if k[0] == "\n" else ids) for k, ids in zip(some, found, strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        keys = [keys_of(t) for t in texts]
+        get = self.cache.get
+        found = [None if k is None else list(map(get, k)) for k in keys]
+        open_ = [i for i, f in enumerate(found) if f and None in f]
+        if open_:
+            self.learn({k for i in open_ for k, ids in zip(keys[i], found[i]) if ids is None})
+            get = self.cache.get
+            for i in open_:
+                found[i] = [f or get(k) for k, f in zip(keys[i], found[i])]
         return [
-            self.whole([text])[0] if found is None else b"".join(map(get, found))
-            for text, found in zip(texts, parts, strict=True)
+            self.whole([text])[0] if f is None else b"".join(f) for text, f in zip(texts, found, strict=True)
         ]
