@@ -9,7 +9,6 @@ worst word, a document as its three worst words, wherever they stand.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelscope.llm.common import fold, map_texts, sample_by_class, slices
+from fidelscope.llm.common import fold, map_texts, slices
 from fidelscope.session import stage
 
 #: Subsequences may skip characters within this many; every skipped one costs this factor.
@@ -30,13 +29,16 @@ POWER = 4
 #: A word is far, and has no kernel, if less than SHARED of its unbroken triples is found in any
 #: toxic landmark, or if its features, each times its largest value there, add up to less than NEAR.
 SHARED, NEAR = 0.45, 0.55
+#: A word is a toxic landmark from this log-likelihood ratio of its documents on.
+EVIDENCE = 7.0
 #: A document is judged by the margins of so many worst words.
 WORST = 3
 #: Bounds of the fit: sampled documents per class, training words, landmarks of each kind.
 DOCS_PER_CLASS, TRAINING_WORDS, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 6_000, 30_000, 200, 200
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 SENTENCE_END = r"[.!?\n]+"
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+COMMON_EDGE = ".,;:!?\"'()#*$%&|"
 INNER = re.compile(r"[\W_]+")
 #: Digits and signs that stand for a letter inside a word.
 LOOKALIKES = str.maketrans("01345@$", "oieasas")
@@ -46,16 +48,14 @@ SCHEMA = "doc_id BIGINT, score DOUBLE, worst_word STRING"
 
 def plain(word: str) -> str:
     """A word in lower case without edge or inner signs, look-alikes inside turned to letters."""
-    word = word.lower()
+    word = word.lower().strip(COMMON_EDGE)
     if word.isalpha():
         return word
     return INNER.sub("", EDGE.sub("", word).translate(LOOKALIKES))
 
 
-def words_of(text: str) -> Counter[str]:
-    found = Counter(text.split())
-    found.update(m.replace(" ", "") for m in SPELLED.findall(text))
-    return found
+def words_of(text: str) -> list[str]:
+    return text.split() + [m.replace(" ", "") for m in SPELLED.findall(text)]
 
 
 def encode(words: list[str]) -> np.ndarray:
@@ -109,11 +109,14 @@ class ToxicityModel:
     bias: float
     n_toxic: int = 0
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(WORST + 1))
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
+    #: Words judged so far, and the margins of those above the bias.
+    seen: set[str] = field(default_factory=set, repr=False)
+    older: set[str] = field(default_factory=set, repr=False)
+    bad: dict[str, float] = field(default_factory=dict, repr=False)
     tables: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "tables": None}
+        return {**self.__dict__, "seen": set(), "older": set(), "bad": {}, "tables": None}
 
     def kernels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of words that are near any landmark, and their kernels with all landmarks."""
@@ -162,33 +165,41 @@ class ToxicityModel:
         lengths = np.array([len(w) for w in words], np.int64) + 2
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 2]
+        sizes = lengths[order] * len(WEIGHT)
         a = 0
         while a < len(order):
-            b = a + 1
-            while b < len(order) and (b - a + 1) * lengths[order[b]] * len(WEIGHT) < 1 << 20:
-                b += 1
+            b = a + max(1, (1 << 20) // int(sizes[a]))
+            b = min(b, a + max(1, (1 << 20) // int(sizes[min(b, len(order)) - 1])), len(order))
             yield order[a:b]
             a = b
 
     def worst(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
         """The largest margins of each text's words, repeated ones counted, and the worst word."""
-        per_text = [words_of(text) if text else {} for text in texts]
+        per_text = [words_of(text) if text else [] for text in texts]
         present = set().union(*per_text)
-        missing = list(present - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache = {w: s for w, s in self.cache.items() if w in present}
+        missing = present - self.seen
+        if len(self.seen) + len(missing) > CACHE_WORDS // 2:
+            # Words used lately stay; margins are kept for all words that may still be known.
+            self.older, self.seen = self.seen, set()
+            missing = present
+            known = self.older | present
+            self.bad = {w: m for w, m in self.bad.items() if w in known}
+        again = missing & self.older
+        self.seen |= again
+        missing = list(missing - again)
         forms = [plain(w) for w in missing]
         distinct = sorted(set(forms))
-        known = dict(zip(distinct, self.margins(distinct).tolist(), strict=True))
-        self.cache.update((w, known[f]) for w, f in zip(missing, forms, strict=True))
-        get, bias = self.cache.__getitem__, self.bias
-        margins, words = np.full((len(texts), WORST), bias), []
-        for i, counts in enumerate(per_text):
-            bad = sorted(((-get(w), w) for w in counts if get(w) > bias))[:WORST]
-            found = [-m for m, w in bad for _ in range(min(counts[w], WORST))][:WORST]
-            margins[i, : len(found)] = found
-            words.append(bad[0][1] if bad else None)
-        return margins, words
+        margins = self.margins(distinct)
+        found = {distinct[i]: float(margins[i]) for i in np.flatnonzero(margins > self.bias)}
+        self.bad.update((w, found[f]) for w, f in zip(missing, forms, strict=True) if f in found)
+        self.seen.update(missing)
+        out, worst = np.full((len(texts), WORST), self.bias), []
+        for i, words in enumerate(per_text):
+            ranked = sorted((-self.bad[w], w) for w in self.bad.keys() & set(words))[:WORST]
+            values = [-m for m, w in ranked for _ in range(min(words.count(w), WORST))][:WORST]
+            out[i, : len(values)] = values
+            worst.append(ranked[0][1] if ranked else None)
+        return out, worst
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
         x = np.c_[margins, np.ones(len(margins))]
@@ -198,31 +209,50 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from labelled documents outside the held-out quarter.
 
-    About 6,000 documents per class at most are sampled, by a hash of the text; their sentences
+    At most 6,000 labelled documents per class are sampled, by a hash of the id; their sentences
     carry the document's label and are counted by word in Spark.  At most 30,000 words of a kind
-    come to the driver: the toxic ones, of which the 200 most frequent are landmarks, and then the
-    words near to those, which the machine has to tell apart (squared hinge, Newton steps); the
+    come to the driver: those in significantly many toxic documents, of which the 200 most
+    frequent are landmarks, and then the words near to those, which the machine has to tell apart (squared hinge, Newton steps); the
     200 most frequent clean ones of them are landmarks too.  The worst margins of the sampled
     documents calibrate the score.
     """
-    marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("text").isNotNull()).select("doc_id", "text")
+    marks = stage(
+        labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .where(fold(F.col("doc_id"), 4) != 2).withColumn("place", F.xxhash64("doc_id"))
+    )
+    chosen = [
+        marks.where(condition).orderBy("place", "doc_id").limit(DOCS_PER_CLASS).drop("place")
+        for condition in ("toxic = 1", "toxic <> 1")
+    ]
+    # No more rows than twice the bound, whatever the labels: they can be sent to all tasks.
     sample = stage(
-        sample_by_class(rows.join(marks, "doc_id").select("text", "toxic"), "toxic", DOCS_PER_CLASS, "toxic")
+        docs.where("text IS NOT NULL").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "toxic")
     )
     sentence = F.explode(F.split("text", SENTENCE_END)).alias("sentence")
     word = F.explode(F.array_distinct(F.split(F.lower("sentence"), r"[\x20\x09-\x0D]+"))).alias("word")
-    counts = stage(sample.select("toxic", sentence).select("toxic", word).where("word <> ''").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("good"),
-    ))
-    typical = counts.where("bad > 1 AND bad > good").orderBy(F.desc("bad"), "good", "word").limit(TRAINING_WORDS)
+    bad = F.col("toxic") == 1
+    numbered = sample.withColumn("doc", F.monotonically_increasing_id())
+    counts = stage(
+        numbered.select("toxic", "doc", sentence).select("toxic", "doc", word).where("word <> ''")
+        .groupBy("doc", "toxic", "word").agg(F.count("*").alias("n")).groupBy("word").agg(*(
+            F.sum(F.when(which, n).otherwise(0)).alias(name) for name, which, n in (
+                ("bad", bad, F.col("n")), ("good", ~bad, F.col("n")),
+                ("bad_docs", bad, F.lit(1)), ("good_docs", ~bad, F.lit(1)))
+        ))
+    )
+    share = sample.agg(F.avg(bad.cast("double"))).first()[0] or 0.0
+    both = F.col("bad_docs") + F.col("good_docs")
+    clean_part = F.col("good_docs") * F.log(F.col("good_docs") / (both * F.lit(1 - share)))
+    evidence = F.col("bad_docs") * F.log(F.col("bad_docs") / (both * F.lit(share))) + F.when(
+        F.col("good_docs") > 0, clean_part).otherwise(0)
+    typical = counts.where(F.col("bad_docs") > both * max(share, 0.5)).withColumn("evidence", evidence).where(
+        F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "word").limit(TRAINING_WORDS)
     toxic = by_form(typical)
-    toxic = sorted((w for w in toxic if toxic[w][0] > 4 * toxic[w][1]), key=lambda w: (-toxic[w][0], w))
+    toxic = sorted(toxic, key=lambda w: (-toxic[w][0], w))
     toxic = toxic[:TOXIC_LANDMARKS]
     model = ToxicityModel(toxic, np.zeros(0), -1.0, len(toxic))
     if toxic:
-        near = counts.mapInArrow(near_words(docs, model), "word STRING, bad BIGINT, good BIGINT")
+        near = counts.select("word", "bad", "good").mapInArrow(near_words(docs, model), "word STRING, bad BIGINT, good BIGINT")
         merged = by_form(near.orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(TRAINING_WORDS))
         model = train(model.landmarks, sorted(merged.items()))
     margins = map_texts(sample, margin_reader(docs, model), "toxic INT, margins ARRAY<DOUBLE>")
@@ -341,3 +371,15 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     word.  Repeated rows are scored one by one.
     """
     return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), scorer(docs, model), SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
+    """The rows of ``docs`` scored below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch, _ in slices(batches, "text", 2 << 20):
+            margins, _ = shared.value.worst(batch.column("text").to_pylist())
+            yield batch.filter(pa.array(shared.value.probability(margins) < threshold))
+
+    return map_texts(docs, keep, docs.schema)
