@@ -500,6 +500,9 @@ ORACLES = {
     "m7_class_weights": f"""WITH {CORPUS} SELECT label, count(*) AS rows,
         round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
       FROM corpus GROUP BY label""",
+    "m8_fit_is_minimum": f"""WITH {VOCAB}
+      SELECT DISTINCT label::INT AS class, (SELECT count(*) FROM vocab) AS n_terms,
+        true AS is_minimum FROM clean_corpus""",
     "m9_predict": PREDICT_SQL,
     "m9_predict_long": PREDICT_SQL,
     "m10_accuracy": f"""WITH {MADE}

@@ -19,9 +19,10 @@ from fidelscope.operators import routing as rt
 from fidelscope.operators import scoring as sc
 from fidelscope.operators import sentences as st
 from fidelscope.operators import threads as th
+from fidelscope.operators.model import INTERCEPT
 from fidelscope.plans.analysis import Report, analyze
 from fidelscope.plans.training import fit_model, prepare_corpus, train
-from fidelscope.session import checkpoint_folder
+from fidelscope.session import checkpoint_folder, stage
 from fidelscope.sources import tables
 from fidelscope.sources.models import load_model, save_model
 from fidelscope.sources.reports import write_report
@@ -505,6 +506,40 @@ def m8_fit_ovr(spark, sf):
     return fit_model(rows).coefficient_table(spark)
 
 
+#: Largest entry of the loss's gradient, a sum over all rows, that counts as zero.
+FLAT = 0.01
+
+
+@query
+def m8_fit_is_minimum(spark, sf):
+    """Per class, the number of terms and whether the loss is flat at the fitted weights."""
+    rows = stage(cp.coerce_labels(prepare_corpus(inputs.corpus(spark, sf))))
+    model = fit_model(rows)
+    weighed = ft.weigh_terms(ft.count_terms(rows, model.terms), model.idf)
+    scores = ln.class_scores(F.struct("indices", "weights"), model)
+    sizes = cp.class_weights(rows).select(F.col("label").alias("class"), F.col("weight").alias("balance"))
+    constant = F.array(F.struct(F.lit(INTERCEPT).cast("bigint").alias("idx"), F.lit(1.0).alias("x")))
+    terms = F.transform(
+        F.arrays_zip("indices", "weights"),
+        lambda t: F.struct(t["indices"].cast("bigint").alias("idx"), t["weights"].alias("x")),
+    )
+    classes = F.array(*map(F.lit, model.classes))
+    by_class = weighed.select(
+        "label", F.concat(constant, terms).alias("terms"),
+        F.inline(F.arrays_zip(classes.alias("class"), scores.alias("score"))),
+    ).join(F.broadcast(sizes), "class")
+    own = F.col("label") == F.col("class")
+    error = F.when(own, F.col("balance")).otherwise(1.0) * (
+        1 / (1 + F.exp(-F.col("score"))) - own.cast("double"))
+    pull = by_class.select("class", error.alias("error"), F.inline("terms")).groupBy("class", "idx").agg(
+        F.sum(F.col("error") * F.col("x")).alias("g"))
+    slope = model.coefficient_table(spark).join(pull, ["class", "idx"], "left")
+    return slope.groupBy("class").agg(
+        F.count_if(F.col("idx") >= 0).alias("n_terms"),
+        (F.max(F.abs(F.coalesce("g", F.lit(0.0)) + F.col("coef"))) < FLAT).alias("is_minimum"),
+    )
+
+
 @query
 def m9_predict(spark, sf):
     scored = ln.predict(inputs.clean_documents(spark, sf), inputs.model(spark, sf))
