@@ -5,7 +5,8 @@ its smallest hash, and an empty bin borrows from one chosen by hashing (optimal
 Bands of bins put documents into buckets.  A bucket is a star: its best connected member is
 compared with all others, on full shingle sets.  Where the confirmed links leave a bucket in more
 than one component, the members outside the main one become centres too, until no pair of the
-bucket that could join two components is left untested.
+bucket that could join two components is left untested.  What a set has alone among all members
+of such buckets bounds its similarity to any of them; pairs below the bound need no test.
 """
 
 from __future__ import annotations
@@ -140,9 +141,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> Data
     salts = max(SALTS, total // PAIRS_PER_SALT)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
     left = salted.select("a", "salt").distinct().join(
-        sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a"
+        sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a"
     )
-    right = salted.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    right = salted.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
 
     def run(batches):
         for batch in batches:
@@ -239,13 +240,38 @@ def open_members(members: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def pairs_of(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a centre with the members of its bucket in other components, if sizes allow a link."""
-    near = F.least("n_shingles", "n") * 100 >= F.greatest("n_shingles", "n") * percent
+    """Pairs of a centre with the members of its bucket in other components, if a link can be.
+
+    ``n_shingles`` and ``shared`` (those not the set's alone) of both sides bound the similarity:
+    no more than the smaller ``shared`` can be common.
+    """
+    common = F.least("shared", "shared_a")
+    near = common * 100 >= (F.col("n_shingles") + F.col("n") - common) * percent
     return members.join(centres, "key").where((F.col("component") != F.col("of")) & near).select(
         F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")
     ).distinct()
 
 
+def count_shared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with ``shared``: how many of the set's shingles another member has too."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            reps = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["rep", "shingle"])
+
+    wanted = sets.join(members.select("rep").distinct(), "rep", "left_semi")
+    single = (
+        map_texts(wanted, run, "rep BIGINT, shingle BIGINT").groupBy("shingle")
+        .agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
+        .groupBy("rep").agg(F.count("*").alias("alone"))
+    )
+    alone = F.coalesce("alone", F.lit(0))
+    return members.drop("shared").join(single, "rep", "left").withColumn("shared", F.col("n_shingles") - alone).drop("alone")
+
+
 def links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
     """``rep, component`` of all linked representatives.
 
@@ -253,29 +279,32 @@ def links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
     In the first rounds each bucket has one centre: the best member of all, then the best one
     outside the main component.  In the last round every member outside is a centre.
     """
-    members = buckets(reps)
+    members = buckets(reps).withColumn("shared", F.col("n_shingles"))
     sets = stage(sets_of(members.select("rep").distinct()))
     total = reps.count()
     edges = tested = parts = None
     for number in range(STAR_ROUNDS + 1):
         rest = open_members(members, parts)
+        if number == STAR_ROUNDS:
+            rest = stage(count_shared(rest, sets))
         out = rest.where("outside") if number else rest
         if number < STAR_ROUNDS:
-            best = F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "component", "n_shingles"))
-            centres = out.groupBy("key").agg(best.alias("best")).select(
-                "key", (-F.col("best.minus")).alias("a"), F.col("best.component").alias("of"),
-                F.col("best.n_shingles").alias("n"))
-        else:
-            centres = out.select("key", F.col("rep").alias("a"), F.col("component").alias("of"),
-                                 F.col("n_shingles").alias("n"))
-        pairs = pairs_of(rest, stage(centres), percent)
+            best = F.max(F.struct(
+                "degree", (-F.col("rep")).alias("minus"), "component", "n_shingles", "shared"))
+            out = out.groupBy("key").agg(best.alias("best")).select(
+                "key", (-F.col("best.minus")).alias("rep"), "best.component", "best.n_shingles", "best.shared")
+        centres = stage(out.select(
+            "key", F.col("rep").alias("a"), F.col("component").alias("of"), F.col("n_shingles").alias("n"),
+            F.col("shared").alias("shared_a")))
+        pairs = pairs_of(rest, centres, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs)
-        found = confirm(pairs, sets, percent, total)
-        edges = stage(found if edges is None else edges.unionByName(found))
+        found = stage(confirm(pairs, sets, percent, total))
+        if number == 0 or not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            parts = components(edges)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        parts = components(edges)
     return parts
 
 
@@ -304,7 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def sets_of(reps: DataFrame) -> DataFrame:
         wanted = reps.select(F.col("rep").alias(row))
-        return shingle_table(numbered.join(wanted, row, "left_semi"), shingle, row)
+        return shingle_table(numbered.join(wanted.hint("merge"), row, "left_semi"), shingle, row)
 
     parts = links(classes.select("rep", "n_shingles", "bands"), sets_of, percent)
     placed = stage(
