@@ -31,7 +31,7 @@ SHINGLE, PERCENT = 5, 80
 STAR_ROUNDS = 2
 #: A centre's set is sent to at most so many tasks for so many pairs.
 SALTS, PAIRS_PER_SALT = 64, 4_096
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 BORDERS = np.array([-(-(j << 64) // BINS) for j in range(BINS)], np.uint64)
 SIGNED = (1 << 63) - 1
 

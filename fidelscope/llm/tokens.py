@@ -13,7 +13,7 @@ PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85]")
 #: A text without other white space than single spaces and line breaks is cut by split().
 OTHER = re.compile("[^\\S \\n]")
-CACHE_PARTS = 1_600_000
+CACHE_PARTS = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

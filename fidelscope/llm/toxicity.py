@@ -35,7 +35,7 @@ EVIDENCE = 7.0
 WORST = 3
 #: Bounds of the fit: sampled documents per class, training words, landmarks of each kind.
 DOCS_PER_CLASS, TRAINING_WORDS, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 6_000, 30_000, 200, 200
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 SENTENCE_END = r"[.!?\n]+"
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 COMMON_EDGE = ".,;:!?\"'()#*$%&|"
@@ -161,15 +161,15 @@ class ToxicityModel:
 
     @staticmethod
     def parts(words: list[str]):
-        """Places of words of like length, at most about a million subsequences at a time."""
+        """Places of words of like length, at most about 260,000 subsequences at a time."""
         lengths = np.array([len(w) for w in words], np.int64) + 2
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 2]
         sizes = lengths[order] * len(WEIGHT)
         a = 0
         while a < len(order):
-            b = a + max(1, (1 << 20) // int(sizes[a]))
-            b = min(b, a + max(1, (1 << 20) // int(sizes[min(b, len(order)) - 1])), len(order))
+            b = a + max(1, (1 << 18) // int(sizes[a]))
+            b = min(b, a + max(1, (1 << 18) // int(sizes[min(b, len(order)) - 1])), len(order))
             yield order[a:b]
             a = b
 
