@@ -21,7 +21,7 @@ from fidelscope.operators import sentences as st
 from fidelscope.operators import threads as th
 from fidelscope.operators.model import INTERCEPT
 from fidelscope.plans.analysis import Report, analyze
-from fidelscope.plans.training import fit_model, prepare_corpus, train
+from fidelscope.plans.training import TrainingConfig, fit_model, prepare_corpus, train
 from fidelscope.session import checkpoint_folder, stage
 from fidelscope.sources import tables
 from fidelscope.sources.models import load_model, save_model
@@ -30,6 +30,8 @@ from workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: More partitions would add a stage to each iteration's job, for corpora of a few thousand rows.
+TRAINING = TrainingConfig(partitions=4)
 
 
 def query(function: Query) -> Query:
@@ -503,7 +505,7 @@ def m7_class_weights(spark, sf):
 @query
 def m8_fit_ovr(spark, sf):
     rows = cp.coerce_labels(prepare_corpus(inputs.corpus(spark, sf)))
-    return fit_model(rows).coefficient_table(spark)
+    return fit_model(rows, TRAINING).coefficient_table(spark)
 
 
 #: Largest entry of the loss's gradient, a sum over all rows, that counts as zero.
@@ -514,7 +516,7 @@ FLAT = 0.01
 def m8_fit_is_minimum(spark, sf):
     """Per class, the number of terms and whether the loss is flat at the fitted weights."""
     rows = stage(cp.coerce_labels(prepare_corpus(inputs.corpus(spark, sf))))
-    model = fit_model(rows)
+    model = fit_model(rows, TRAINING)
     weighed = ft.weigh_terms(ft.count_terms(rows, model.terms), model.idf)
     scores = ln.class_scores(F.struct("indices", "weights"), model)
     sizes = cp.class_weights(rows).select(F.col("label").alias("class"), F.col("weight").alias("balance"))
@@ -589,7 +591,7 @@ def m12_confusion_matrix(spark, sf):
 
 @query
 def m13_train(spark, sf):
-    return train(inputs.corpus(spark, sf)).report()
+    return train(inputs.corpus(spark, sf), TRAINING).report()
 
 
 # --- scoring and report ------------------------------------------------------------------
