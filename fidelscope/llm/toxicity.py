@@ -26,9 +26,9 @@ SPAN = np.array([(a, b) for a, b in combinations(range(1, WINDOW), 2)])
 WEIGHT = DECAY ** (SPAN[:, 1] - 2.0)
 #: The kernel is this power of the normalised subsequence kernel: only near words count.
 POWER = 4
-#: A word is far, and has no kernel, if less than SHARED of its unbroken triples is found in any
-#: toxic landmark, or if its features, each times its largest value there, add up to less than NEAR.
-SHARED, NEAR = 0.45, 0.55
+#: A word is far, and has no kernel, if its features, each times its largest value in any toxic
+#: landmark, add up to less than NEAR: no such landmark's unraised kernel can then be as large.
+NEAR = 0.55
 #: A word is a toxic landmark from this log-likelihood ratio of its documents on.
 EVIDENCE = 7.0
 #: A document is judged by the margins of so many worst words.
@@ -73,11 +73,21 @@ def encode(words: list[str]) -> np.ndarray:
     return rows
 
 
-def unbroken(codes: np.ndarray) -> np.ndarray:
-    """Keys of three characters in a row, 0 behind the word's end."""
+def reach(words: list[str], largest: np.ndarray) -> np.ndarray:
+    """At least what each word's features times ``largest`` of their subsequence add up to.
+
+    Equal subsequences of a word are not added up before its length is taken, which can only make
+    the length too small; so nothing has to be sorted.
+    """
+    codes = encode(words)
     width = codes.shape[1] - WINDOW
-    a, b, c = (codes[:, i : i + width] for i in range(3))
-    return np.where((b > 0) & (c > 0), a << 12 | b << 6 | c, 0)
+    total, square = np.zeros(len(words)), np.zeros(len(words))
+    for (b, c), weight in zip(SPAN, WEIGHT, strict=True):
+        first, second, third = codes[:, :width], codes[:, b : b + width], codes[:, c : c + width]
+        there = third > 0
+        total += weight * (largest[first << 12 | second << 6 | third] * there).sum(axis=1)
+        square += weight**2 * there.sum(axis=1)
+    return total / np.sqrt(square)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,13 +137,11 @@ class ToxicityModel:
             slot[used] = np.arange(1, len(used) + 1)
             dense = np.zeros((len(used) + 1, len(self.landmarks)), np.float32)
             dense[slot[feature], row] = value
-            triples = np.zeros(1 << 18, bool)
-            triples[unbroken(encode(self.landmarks[: self.n_toxic]))] = True
-            triples[0] = False
-            self.tables = slot, dense, triples, dense[:, : self.n_toxic].max(axis=1)
-        slot, dense, triples, bound = self.tables
-        keys = unbroken(encode(words))
-        near = np.flatnonzero(triples[keys].sum(axis=1) >= SHARED * (keys > 0).sum(axis=1))
+            bound = dense[:, : self.n_toxic].max(axis=1)
+            self.tables = slot, dense, bound, bound[slot]
+        slot, dense, bound, largest = self.tables
+        # A little less than NEAR, for rounding.
+        near = np.flatnonzero(reach(words, largest) >= NEAR - 1e-4)
         found = np.zeros((len(near), len(self.landmarks)), np.float32)
         if len(near):
             row, feature, value = features([words[i] for i in near])

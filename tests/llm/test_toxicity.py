@@ -66,3 +66,17 @@ def test_odd_rows_and_no_labels(spark):
     assert len(tx.score(docs, model).collect()) == 5
     assert tx.drop_toxic(docs, model, 0.6).columns == docs.columns
     assert tx.score(docs.limit(0), model).count() == 0
+
+
+def test_no_near_word_is_skipped():
+    insults = ["scum", "idiot", "moron", "stupid"]
+    model = tx.ToxicityModel(insults, np.zeros(len(insults)), 0.0, len(insults))
+    inserted = [w[:i] + "x" + w[i:] for w in insults for i in range(1, len(w))]
+    doubled = ["iddioot", "iddiott", "mooronn", "idiioot"]
+    words = [*inserted, *doubled, "table", "customer", "aaaa"]
+    sets = [by_force(w) for w in insults]
+    kernel = [max(sum(v * s.get(k, 0) for k, v in by_force(w).items()) for s in sets) for w in words]
+    near, found = model.kernels(words)
+    assert {w for w, k in zip(words, kernel, strict=True) if k >= tx.NEAR} <= {words[i] for i in near}
+    assert {"scxum", "sxcum", *doubled} <= {words[i] for i in near}
+    assert found.max(axis=1) == pytest.approx([kernel[i] ** tx.POWER for i in near], abs=1e-5)
