@@ -36,6 +36,8 @@ WORST = 3
 #: Bounds of the fit: sampled documents per class, training words, landmarks of each kind.
 DOCS_PER_CLASS, TRAINING_WORDS, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 6_000, 30_000, 200, 200
 CACHE_WORDS = 600_000
+#: Calibration when nothing was learned: whatever the margins, a score below 1e-4.
+CLEAN = np.r_[np.zeros(WORST), -10.0]
 SENTENCE_END = r"[.!?\n]+"
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 COMMON_EDGE = ".,;:!?\"'()#*$%&|"
@@ -223,6 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     frequent are landmarks, and then the words near to those, which the machine has to tell apart (squared hinge, Newton steps); the
     200 most frequent clean ones of them are landmarks too.  The worst margins of the sampled
     documents calibrate the score.
+
+    With no such labelled row, labels of one class only, or no landmark, nothing tells documents
+    apart, and every document has a score near 0: a filter then keeps all rows.
     """
     marks = stage(
         labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -264,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         merged = by_form(near.orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(TRAINING_WORDS))
         model = train(model.landmarks, sorted(merged.items()))
     margins = map_texts(sample, margin_reader(docs, model), "toxic INT, margins ARRAY<DOUBLE>")
-    model.calibration = calibrate(margins.collect())
+    model.calibration = calibrate(margins.collect()) if model.landmarks else CLEAN
     return model
 
 
@@ -332,15 +337,16 @@ def kernel_matrix(model: ToxicityModel, words: list[str]) -> np.ndarray:
 
 
 def calibrate(rows: list) -> np.ndarray:
-    """Logistic regression of the label on the worst margins, by Newton steps."""
+    """Logistic regression of the label on the worst margins, by Newton steps; clean without both labels."""
+    y = np.array([r["toxic"] == 1 for r in rows], float)
+    if len(set(y.tolist())) < 2:
+        return CLEAN
     w = np.zeros(WORST + 1)
-    if rows:
-        y = np.array([r["toxic"] == 1 for r in rows], float)
-        x = np.c_[np.array([r["margins"] for r in rows]), np.ones(len(rows))]
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            curve = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-            w = w - np.linalg.solve(curve, x.T @ (p - y) + 0.05 * w)
+    x = np.c_[np.array([r["margins"] for r in rows]), np.ones(len(rows))]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
+        w = w - np.linalg.solve(curve, x.T @ (p - y) + 0.05 * w)
     return w
 
 

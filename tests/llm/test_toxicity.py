@@ -80,3 +80,16 @@ def test_no_near_word_is_skipped():
     assert {w for w, k in zip(words, kernel, strict=True) if k >= tx.NEAR} <= {words[i] for i in near}
     assert {"scxum", "sxcum", *doubled} <= {words[i] for i in near}
     assert found.max(axis=1) == pytest.approx([kernel[i] ** tx.POWER for i in near], abs=1e-5)
+
+
+@pytest.mark.parametrize("labelled", [[], [(1, None)], [(1, 1)], [(1, 1), (3, 0), (4, 1)]])
+def test_stage_keeps_all_rows_when_nothing_was_learned(spark, tmp_path, labelled):
+    from corpus_pipeline import TOXIC_FROM, toxicity_stage
+
+    spark.createDataFrame(labelled, "doc_id BIGINT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, None), (2, ""), (3, "you idiot " * 400), (4, "a plain text"), (None, "...")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    kept = toxicity_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, docs.collect()))
+    model = tx.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert all(r.score < TOXIC_FROM / 100 for r in tx.score(docs, model).collect())
