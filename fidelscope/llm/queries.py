@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from fidelscope.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,3 +230,12 @@ def op4_substring_dedup(spark, sf):
 def op10_lm_scoring(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lm_scoring.score(docs).withColumn("held_out", ~lm_scoring.training(F.col("doc_id")))
+
+
+# --- 13: near duplicates by SimHash ------------------------------------------------------
+
+
+@query
+def op13_simhash(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).drop("row")
