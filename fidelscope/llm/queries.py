@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from fidelscope.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality, simhash, substring_dedup, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,6 +232,69 @@ def op10_lm_scoring(spark, sf):
     return lm_scoring.score(docs).withColumn("held_out", ~lm_scoring.training(F.col("doc_id")))
 
 
+# --- 11: conversation prefix trie ---------------------------------------------------------
+
+
+@query
+def op11_prefix_trie(spark, sf):
+    conversations = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.conversation_trie(conversations).drop("last_bytes")
+
+
+# CRC-32 has no SQL function: a table-free form, eight steps a byte, over the decimal digits.
+ORACLES["op11_prefix_trie"] = r"""
+WITH RECURSIVE convs AS (
+  SELECT conv_id AS c, CAST(conv_id AS VARCHAR) AS digits, conv_id - conv_id % 5 AS base
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc(c, digits, i, r) AS (
+  SELECT c, digits, 0, CAST(4294967295 AS BIGINT) FROM convs
+  UNION ALL
+  SELECT c, digits, i + 1, CASE
+    WHEN i % 9 = 0 THEN xor(r, CAST(ascii(substr(digits, i // 9 + 1, 1)) AS BIGINT))
+    WHEN r % 2 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END
+  FROM crc WHERE i < 9 * length(digits)
+), heads AS (
+  SELECT c, base, xor(r, CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM crc JOIN convs USING (c) WHERE i = 9 * length(crc.digits)
+), turns AS (
+  SELECT conv_id AS c, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS turn_hash,
+         strlen(coalesce(text, '')) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT heads.c, p, 0 AS own, turn_hash, bytes FROM heads JOIN turns ON turns.c = base AND p <= h
+  UNION ALL
+  SELECT heads.c, p, 1, turn_hash, bytes FROM heads JOIN turns USING (c) WHERE p > h
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, p) AS depth FROM rebuilt
+), paths AS (
+  SELECT c, 0 AS depth, '' AS key, 0 AS bytes FROM heads
+  UNION ALL
+  SELECT c, depth, md5(string_agg(turn_hash, '') OVER (PARTITION BY c ORDER BY depth)), bytes FROM numbered
+), lengths AS (SELECT c, max(depth) AS length FROM paths GROUP BY c
+), nodes AS (
+  SELECT depth, key, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = length), '')) AS ends_sha256
+  FROM paths JOIN lengths USING (c) GROUP BY depth, key
+), named AS (
+  SELECT n.*, up.conv_id AS parent_conv_id FROM nodes n
+  LEFT JOIN paths p ON p.c = n.conv_id AND p.depth = n.depth - 1
+  LEFT JOIN nodes up ON up.key = p.key AND up.depth = p.depth
+), children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children
+  FROM named WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT named.*, coalesce(n_children, 0) AS n_children FROM named LEFT JOIN children USING (conv_id, depth)
+), sums AS (
+  SELECT p.key, p.depth, sum(CAST(n.n_children = 0 AS BIGINT)) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM counted n JOIN paths p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY ALL
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM counted JOIN sums USING (key, depth)
+"""
+
+
 # --- 13: near duplicates by SimHash ------------------------------------------------------
 
 
