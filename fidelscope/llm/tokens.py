@@ -30,7 +30,8 @@ def keys_of(text: str) -> list[str] | None:
     other = OTHER.search(text)
     if other and ODD.search(text):
         return None
-    if not other and "\n\n\n" not in text and not text[-2:].isspace():
+    # Line breaks before other white space are one piece, but the last of them before a word is not.
+    if not other and "\n\n\n" not in text and "\n\n " not in text and not text[-2:].isspace():
         keys = text.replace("\n", " \n").split(" ")
         if "" not in keys:
             keys[0] = f" {keys[0]}"

@@ -25,7 +25,7 @@ def tokenizer():
 ODD_TEXTS = [
     "", " ", "\n", "a", "  two  spaces ", "tab\tand\nline \n\n x", "don't we'll I'M", "x=1;y==2 ...!!",
     "é ü ß ñ — “q”", "a b c　d", "\x1c\x1d x\x85y", "<|endoftext|> in text<|endoftext|>",
-    "a\n\nb", "a\n\n\nb", "a\n\n", "a\n", "\na", "a \nb", "a\n b c", "日本語 テキスト 😀😀", "a" * 5000, "word " * 3000, "\r\n\r\n z", "​zero﻿",
+    "a\n\nb", "a\n\n b", "a\n\n\nb", "a\n\n", "a\n", "\na", "a \nb", "a\n b c", "日本語 テキスト 😀😀", "a" * 5000, "word " * 3000, "\r\n\r\n z", "​zero﻿",
 ]
 
 
