@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelscope.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality, simhash, substring_dedup, toxicity, url_filter
+from fidelscope.llm import alignment, exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality, simhash, substring_dedup, toxicity, url_filter
 from fidelscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,15 @@ FROM counted JOIN sums USING (key, depth)
 """
 
 
+# --- 12: alignment of two tokenizers ------------------------------------------------------
+
+
+@query
+def op12_alignment(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.align_corpus(docs).drop("row")
+
+
 # --- 13: near duplicates by SimHash ------------------------------------------------------
 
 
