@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -17,14 +16,16 @@ from fidelscope.functions import script
 from fidelscope.functions.once import let, with_fields
 from fidelscope.operators.features import (
     count_terms,
-    feature_tokens,
     literal_doubles,
     row_weights,
+    term_freq,
 )
+from fidelscope.operators.logistic import minimise, sparse_blocks
 from fidelscope.operators.model import TextModel
-from fidelscope.session import cut_lineage
+from fidelscope.session import stage
 
-ZERO_ROW_SHARE = 0.01
+#: A fit ends when its gradient has shrunk to this share of the first one.
+TOLERANCE = 1e-6
 
 
 def feature_vectors(
@@ -48,68 +49,40 @@ def fit_ovr(
     df: DataFrame,
     column: str = "label",
     max_iter: int = script.MAX_ITER,
-    tol: float = 1e-6,
+    tol: float = TOLERANCE,
     c: float = 1.0,
     width: int | None = None,
     partitions: int | None = None,
-    parallelism: int | None = None,
 ) -> tuple[tuple[int, ...], list[list[float]]]:
     """One logistic regression per class on ``features``; returns classes and weight rows.
 
     For class *i* its own rows weigh ``n / (k·n_i)`` and all others 1; the loss is their
-    weighted sum with ``1/(2c)·|w|²``, which is ``regParam = 1/(c·Σ weights)`` in Spark's mean
-    form.  Two classes need one fit, weighted on both sides.  Every iteration is one job whose
-    tasks carry the lineage, so it is cut first.  ``partitions`` of the rows after that are the
-    session's parallelism if not given; ``parallelism`` is the number of fits side by side, all
-    if not given (each keeps its own copy of the rows); ``width`` saves a job to learn it.
-
-    Spark gives a column without variance no weight, which would lose the constant behind the
-    features.  One added row of zeros gives it variance: its margin is 0 under any weights, so
-    it adds a constant to the loss and leaves the solution as it is.
+    weighted sum with ``1/(2c)·|w|²``.  Two classes need one fit, weighted on both sides.  A fit
+    ends when its gradient is ``tol`` times the first one or shorter.
+
+    Every iteration is one pass over the rows for all classes (:mod:`logistic`), which are therefore
+    written once and kept in the executors' memory as far as it goes.  ``partitions`` deals the rows
+    out anew before that; ``width`` saves a job to learn it.
     """
     sizes = {r[column]: r["n"] for r in df.groupBy(column).agg(F.count("*").alias("n")).collect()}
     classes, n = tuple(sorted(sizes)), sum(sizes.values())
     if len(classes) < 2:
         raise ValueError(f"training needs at least two classes, found {list(classes)}")
-    balanced = {k: n / (len(sizes) * m) for k, m in sizes.items()}
-    vectors = df.select("features", F.col(column).cast("int").alias("_class"))
-    width = width or vectors.first()["features"].size
-    zero_row = df.sparkSession.createDataFrame(
-        [(Vectors.sparse(width, {}), None)], vectors.schema
-    )
-    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    rows = cut_lineage(vectors.unionByName(zero_row)).coalesce(partitions)
-
-    def fit(positive: int, rest: float) -> list[float]:
-        own = F.col("_class").eqNullSafe(positive)
-        total = balanced[positive] * sizes[positive] + rest * (n - sizes[positive])
-        weight = (
-            F.when(own, balanced[positive])
-            .when(F.col("_class").isNull(), ZERO_ROW_SHARE * total)
-            .otherwise(rest)
-        )
-        regression = LogisticRegression(
-            labelCol="_target",
-            weightCol="_weight",
-            maxIter=max_iter,
-            tol=tol,
-            regParam=1.0 / (c * total * (1.0 + ZERO_ROW_SHARE)),
-            elasticNetParam=0.0,
-            standardization=False,
-            fitIntercept=False,
-        )
-        weighted = rows.select(
-            "features", own.cast("double").alias("_target"), weight.alias("_weight")
-        )
-        return regression.fit(weighted).coefficients.toArray().tolist()
-
-    if len(classes) == 2:
-        first, second = classes
-        weights = fit(second, balanced[first])
-        return classes, [[-w for w in weights], weights]
-    with ThreadPool(parallelism or len(classes)) as pool:
-        one = inheritable_thread_target(df.sparkSession)(lambda k: fit(k, 1.0))
-        return classes, pool.map(one, classes)
+    balanced = [n / (len(sizes) * sizes[k]) for k in classes]
+    fitted = classes[1:] if len(classes) == 2 else classes
+    costs = np.array([
+        [balanced[j] if k == label else -(balanced[j] if len(classes) == 2 else 1.0) for j, label in enumerate(classes)]
+        for k in fitted
+    ])
+    rows = df.select("features", column)
+    width = width or rows.first()["features"].size
+    blocks = stage(sparse_blocks(rows.repartition(partitions) if partitions else rows, "features", column))
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weights = minimise(blocks, width, costs, classes, 1.0 / c, tol, max_iter).tolist()
+    finally:
+        blocks.unpersist()
+    return classes, [[-w for w in weights[0]], weights[0]] if len(classes) == 2 else weights
 
 
 def class_scores(weighed: Column, model: TextModel) -> Column:
@@ -180,19 +153,13 @@ def predict_long(
         *(F.sum(F.when(F.col("class") == c, F.col("coef"))).alias(f"_w{c}") for c in classes)
     )
     known = vocab.select("term", "idf").join(wide, "term", "left")
-    placed = df.select(key, column).repartition(key)
-    counted = (
-        placed.select(key, F.explode(feature_tokens(column)).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    raw = counted.join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    raw = term_freq(df, key, column).join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
     sums = raw.groupBy(key).agg(
         F.count("w").alias("nnz"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
         *(F.sum(F.col("w") * F.col(f"_w{c}")).alias(f"_s{c}") for c in classes),
     )
-    # Only known terms meet the vocabulary; rows without any keep their intercepts.
+    # Sums are combined before they move; rows without a known term keep their intercepts.
     summed = df.select(key).join(sums, key, "left").fillna(0, ["nnz"])
     scores = F.array(
         *(

@@ -18,7 +18,7 @@ from fidelscope.operators.corpus import (
     stratified_split,
 )
 from fidelscope.operators.features import fit_vocabulary
-from fidelscope.operators.linear import feature_vectors, fit_ovr, predict
+from fidelscope.operators.linear import TOLERANCE, feature_vectors, fit_ovr, predict
 from fidelscope.operators.metrics import accuracy, classification_report, confusion_matrix
 from fidelscope.operators.model import TextModel
 from fidelscope.operators.sentences import non_blank
@@ -34,21 +34,22 @@ class TrainingConfig:
     max_df: float = script.MAX_DF
     max_features: int = script.MAX_FEATURES
     max_iter: int = script.MAX_ITER
-    tol: float = 1e-6
+    tol: float = TOLERANCE
     profile: str = "ethiopic"
-    #: Partitions of the training rows, and fits side by side (see ``fit_ovr``).
+    #: Partitions of the training rows; those that the corpus has if not given (see ``fit_ovr``).
     partitions: int | None = None
-    parallelism: int | None = None
 
 
 @dataclass(frozen=True)
 class TrainingResult:
     """The model and the predictions on the test part, with their evaluation.
 
-    ``labels`` counts the raw labels, ``stats`` the texts before and after cleaning.
+    ``split`` holds the coded rows and their part, ``labels`` counts the raw labels, ``stats`` the
+    texts before and after cleaning.
     """
 
     model: TextModel
+    split: DataFrame
     predictions: DataFrame
     labels: DataFrame
     stats: DataFrame
@@ -85,7 +86,7 @@ def fit_model(train_part: DataFrame, cfg: TrainingConfig = TrainingConfig()) ->
     vectors = feature_vectors(train_part, terms, idf)
     classes, weights = fit_ovr(
         vectors, max_iter=cfg.max_iter, tol=cfg.tol, width=len(terms) + 1,
-        partitions=cfg.partitions, parallelism=cfg.parallelism,
+        partitions=cfg.partitions,
     )
     return TextModel(
         classes,
@@ -117,6 +118,7 @@ def train(
     tested = predict(split.where(F.col("part") == "test").withColumnRenamed("label", "truth"), model)
     return TrainingResult(
         model,
+        split,
         tested.select("id", F.col("truth").alias("label"), "prediction"),
         label_distribution(every),
         corpus_stats(every),

@@ -52,11 +52,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame that many short jobs read, such as the rows of an iterative fit."""
-    context, folder = df.sparkSession.sparkContext, checkpoint_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
