@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelscope.functions import script
@@ -21,9 +21,11 @@ from fidelscope.operators import routing as rt
 from fidelscope.operators import threads as th
 from fidelscope.operators.linear import predict
 from fidelscope.operators.model import TextModel
+from fidelscope.operators.selection import asof_steps, running_sums
 from fidelscope.session import stage
 
-_OLDEST = -(2**63)
+#: Below every message id; its negative is a number too.
+_OLDEST = -(2**62)
 _COUNTERS = ("sentences", *script.REPORT_LABELS)
 
 
@@ -142,33 +144,26 @@ def _target_counts(targets: DataFrame, per_message: DataFrame) -> DataFrame:
     comment = F.col("is_comment")
     channel = targets.where(F.col("target_type") == rt.CHANNEL)
     post = targets.where(F.col("target_type") == rt.POST)
-    # A chat's floors are steps; a message counts for the highest step below it, and a target gets
-    # the sum over its own and all newer steps: as many rows as messages and targets.
-    steps = channel.groupBy("chat_id").agg(F.array_sort(F.collect_set("floor_id")).alias("steps"))
-    below = F.filter("steps", lambda step: step <= F.col("message_id"))
-    totals = ("messages", "messages_with_comments", "comments", *_COUNTERS)
+    # A chat's floors are steps: a message counts for the highest one that is not above it, found by
+    # an as-of merge; a target gets the sums of its own and all newer steps.
+    steps = channel.select("chat_id", "floor_id").distinct()
+    totals = ("messages", "messages_with_comments", "comments", *_COUNTERS, "known")
     by_step = (
-        per_message.where("in_channel").join(steps, "chat_id")
-        .withColumn("floor_id", F.array_max(below)).where(F.col("floor_id").isNotNull())
+        asof_steps(per_message.where("in_channel"), steps, ["chat_id"], "message_id", "floor_id")
         .groupBy("chat_id", "floor_id")
         .agg(
             F.count_if(~comment).alias("messages"),
             F.count_if(comment).alias("messages_with_comments"),
             F.sum(F.when(comment, F.col("texts")).otherwise(0)).alias("comments"),
             *(F.sum(c).alias(c) for c in _COUNTERS),
-            F.max("known").alias("known"),
+            F.count_if("known").alias("known"),
         )
     )
-    newer = Window.partitionBy("chat_id").orderBy(F.desc("floor_id"))
-    running = (
-        steps.select("chat_id", F.explode("steps").alias("floor_id"))
-        .join(by_step, ["chat_id", "floor_id"], "left")
-        .select("chat_id", "floor_id", *(F.sum(c).over(newer).alias(c) for c in totals),
-                F.max("known").over(newer).alias("known"))
-    )
+    every = steps.join(by_step, ["chat_id", "floor_id"], "left").withColumn("met", F.col("messages").isNotNull().cast("int"))
+    running = running_sums(every, ["chat_id"], -F.col("floor_id"), (*totals, "met"))
     in_channel = channel.select("target", "chat_id", "floor_id").join(
-        running.where(F.col("messages").isNotNull()), ["chat_id", "floor_id"]
-    ).select("target", *totals, "known")
+        running.where("met > 0"), ["chat_id", "floor_id"]
+    ).select("target", *totals[:-1], (F.col("known") > 0).alias("known"))
     in_post = (
         per_message.where(comment)
         .join(post.select("target", *th.THREAD), th.THREAD)

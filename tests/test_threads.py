@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from fidelscope.operators import threads
-from fidelscope.operators.selection import rank_cutoffs
+from fidelscope.operators.selection import asof_steps, rank_cutoffs, running_sums
 
 MESSAGES = "chat_id long, message_id long, reply_to long, text string"
 THREADS = "chat_id long, message_id long, linked_chat_id long, text string"
@@ -109,3 +109,39 @@ def test_posts(spark):
     assert as_set(threads.post_texts(posts, both), "chat_id", "message_id", "text") == {
         (1, 10, "linked"), (1, 20, "own, used"), (2, 10, "late"), (2, 10, "early"),
     }
+
+
+def test_asof_steps_and_running_sums_against_sorting(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randint(-200, 3000), i) for i in range(2000)]
+    steps = {(k, rng.choice([rng.randint(-100, 3000), 10**9, -(2**62)])) for k in (1, 1, 1, 4, 2) for _ in range(40)}
+    got = asof_steps(
+        spark.createDataFrame(rows, "k long, at long, n long"),
+        spark.createDataFrame([(k, s, f"{k}/{s}") for k, s in steps], "k long, step long, name string"),
+        ["k"], "at", "step", span=64,
+    )
+    expected = set()
+    for k, at, n in rows:
+        below = [s for key, s in steps if key == k and s <= at]
+        if below:
+            expected.add((k, at, n, max(below), f"{k}/{max(below)}"))
+    assert as_set(got, "k", "at", "n", "step", "name") == expected
+    unique = {(k, at): n for k, at, n in rows}
+    summed = running_sums(
+        spark.createDataFrame([(k, at, n if n % 3 else None) for (k, at), n in unique.items()], "k long, at long, n long"),
+        ["k"], -F.col("at"), ["n"], span=64)
+    assert as_set(summed, "k", "at", "n") == {
+        (k, at, sum(m for (key, other), m in unique.items() if key == k and other >= at and m % 3)) for k, at in unique}
+
+
+def test_a_hundred_thousand_limits_on_one_chat(spark):
+    n = 100_000
+    messages = spark.range(n).select(
+        F.lit(1).cast("long").alias("chat_id"), (F.col("id") * 3).alias("message_id"),
+        F.lit(None).cast("long").alias("reply_to"), F.lit("").alias("text"),
+    )
+    limits = spark.range(1, n + 2).select(F.lit(1).cast("long").alias("chat_id"), F.col("id").alias("message_limit"))
+    floors = threads.recent_floors(messages, limits)
+    wrong = floors.where(~F.col("floor_id").eqNullSafe(
+        F.when(F.col("message_limit") <= n, (n - F.col("message_limit")) * 3)))
+    assert floors.count() == n + 1 and wrong.count() == 0
