@@ -23,19 +23,34 @@ from fidelscope.functions import script
 from fidelscope.functions.once import let, with_fields
 from fidelscope.functions.text import feature_tokens
 
+
+def counted_terms(column: str) -> Column:
+    """The terms of a cleaned text and their counts: ``ARRAY<STRUCT<term, tf>>``, in term order.
+
+    Sorted tokens lie in runs; a run's length is the distance from its start to the next one's.
+    """
+
+    def run_starts(words: Column) -> Column:
+        places = F.transform(words, lambda w, i: i + 1)
+        return F.filter(places, lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+
+    def runs(words: Column, starts: Column) -> Column:
+        after = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words) + 1)
+        return F.transform(
+            starts,
+            lambda i, j: F.struct(F.get(words, i - 1).alias("term"), (after(j) - i).cast("bigint").alias("tf")),
+        )
+
+    words = F.sort_array(F.coalesce(feature_tokens(column), F.array().cast("array<string>")))
+    return let(words, lambda w: let(run_starts(w), lambda starts: runs(w, starts)))
+
+
 def term_freq(df: DataFrame, key: str = "id", column: str = "processed") -> DataFrame:
-    """Long-form counts ``key, term, tf``.
+    """Long-form counts ``key, term, tf``, counted within the row: nothing is shuffled.
 
-    Texts are placed by key before they are cut into tokens, so that the counting needs no
-    shuffle of tokens, which take several times the room of the text.
+    ``key`` must be unique.
     """
-    return (
-        df.select(key, column)
-        .repartition(key)
-        .select(key, F.explode(feature_tokens(column)).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    return df.select(key, F.inline(counted_terms(column)))
 
 
 def term_stats(df: DataFrame, column: str = "processed") -> DataFrame:
@@ -112,8 +127,7 @@ def fit_vocabulary(
 def tfidf(tf: DataFrame, vocab: DataFrame, key: str = "id") -> DataFrame:
     """Long form ``key, term, weight``: tf·idf, L2-normalised per row.
 
-    Terms outside the vocabulary are dropped; a row without any known term has no line.  The
-    norm stays within the partitions that :func:`term_freq` made.
+    Terms outside the vocabulary are dropped first; a row without any known term has no line.
     """
     raw = tf.join(vocab.select("term", "idf"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))

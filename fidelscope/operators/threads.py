@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelscope.operators.selection import rank_cutoffs
+from fidelscope.session import stage
 
 ID_BLOCK = 65_536
 #: Comments of a message in one array at least, before another part begins.
@@ -162,30 +163,37 @@ def attach_comments(
     between ranges of ``span`` ids wherever another ``part_size`` comments have come together, so
     that none outgrows a task.  ``start`` counts the comments in earlier parts.  Part 0 always
     exists, with an empty array where there is no comment.
+
+    Comments are read once: their arrays per range are written, the ranges numbered by their counts
+    alone, and the arrays put together by part.
     """
-    ranged = comments.withColumn("block", F.floor(F.col("comment_id") / F.lit(span)))
-    newest_first = Window.partitionBy(*THREAD).orderBy(F.desc("block"))
-    sizes = ranged.groupBy(*THREAD, "block").agg(F.count("*").alias("n"))
-    counted = sizes.select(
-        *THREAD, "block", (F.sum("n").over(newest_first) - F.col("n")).alias("start")
+    newest_first = F.sort_array(F.collect_list(F.struct("comment_id", "text")), asc=False)
+    blocks = stage(
+        comments.groupBy(*THREAD, F.floor(F.col("comment_id") / F.lit(span)).alias("block")).agg(
+            F.count("*").alias("n"), newest_first["text"].alias("texts")
+        )
+    )
+    earlier = Window.partitionBy(*THREAD).orderBy(F.desc("block"))
+    counted = blocks.select(
+        *THREAD, "block", (F.sum("n").over(earlier) - F.col("n")).alias("start")
     )
     portion = Window.partitionBy(*THREAD).orderBy(F.floor(F.col("start") / F.lit(part_size)))
     numbered = counted.withColumn("part", (F.dense_rank().over(portion) - 1).cast("bigint"))
+    pieces = F.sort_array(F.collect_list(F.struct("block", "texts")), asc=False)
     arrays = (
-        ranged.join(numbered, [*THREAD, "block"])
+        blocks.join(numbered, [*THREAD, "block"])
         .groupBy(*THREAD, "part")
-        .agg(F.min("start").alias("start"), F.collect_list(F.struct("comment_id", "text")).alias("found"))
-        .select(*THREAD, "part", "start", F.sort_array("found", asc=False)["text"].alias("comments"))
+        .agg(F.min("start").alias("start"), F.flatten(pieces["texts"]).alias("comments"))
     )
     heads = messages.select(*THREAD, F.col("text").alias("message_text"))
     none = F.lit(0).cast("bigint")
-    silent = heads.join(sizes.select(*THREAD).distinct(), THREAD, "left_anti").select(
-        "*",
-        none.alias("part"),
-        none.alias("start"),
-        F.array().cast("array<string>").alias("comments"),
+    return heads.join(arrays, THREAD, "left").select(
+        *THREAD,
+        "message_text",
+        F.coalesce("part", none).alias("part"),
+        F.coalesce("start", none).alias("start"),
+        F.coalesce("comments", F.array().cast("array<string>")).alias("comments"),
     )
-    return heads.join(arrays, THREAD).unionByName(silent)
 
 
 def thread_stats(threads: DataFrame, group: list[str] | None = None) -> DataFrame:

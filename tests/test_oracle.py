@@ -11,7 +11,7 @@ from workload.queries import QUERIES
 
 FOLDER = os.environ.get("TESTDATA_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-SLOW = {"m8_fit_ovr", "m13_train"}  # iterative; test_training checks the solution
+SLOW = {"m8_fit_ovr", "m13_report"}  # fitted weights; m8_fit_is_minimum and m13_train check them
 
 
 @pytest.fixture(scope="module")

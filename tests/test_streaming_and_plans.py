@@ -33,10 +33,20 @@ def test_samples_are_limited_before_the_shuffle(spark):
         "row_number(), 3, Partial")
 
 
-def test_counting_terms_shuffles_texts_not_tokens(spark):
-    frame = spark.createDataFrame([(1, "ሰላም")], "id long, processed string")
-    text = plan(features.term_freq(frame))
-    assert text.count("Exchange") == 1 and text.index("explode") < text.index("Exchange")
+def test_counting_terms_shuffles_nothing(spark):
+    frame = spark.createDataFrame([(1, "ሰላም ቡና ሰላም"), (2, ""), (3, None), (4, "ቡና")], "id long, processed string")
+    counted = features.term_freq(frame)
+    assert "Exchange" not in plan(counted)
+    assert sorted(map(tuple, counted.collect())) == [(1, "ሰላም", 2), (1, "ቡና", 1), (4, "ቡና", 1)]
+
+
+def test_batches_are_decided_without_scoring_twice(spark):
+    rows = [(1, "ሰላም። ቡና"), (2, "ቡና። መኪና"), (3, "ጥላቻ")]
+    scored = scoring.score_sentences(spark.createDataFrame(rows, "id long, text string"), small_model())
+    kept = scoring.drop_unknown_batches(scored, ["id"])
+    text = plan(kept)
+    assert "reflect" not in text and "UDF" not in text and "regexp_replace" not in text
+    assert sorted((r.id, r.sent_idx) for r in kept.collect()) == [(1, 0), (1, 1), (3, 0)]
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):

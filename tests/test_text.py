@@ -124,3 +124,14 @@ def test_percentage_text_like_python(spark, share):
 
     row = spark.range(1).select(percentage_text(F.lit(share))).first()
     assert row[0] == f"{share:.2f}%"
+
+
+def test_listed_tokens_are_dropped_in_order(spark):
+    from fidelscope.operators.wordlists import drop_listed_tokens
+
+    rows = [(1, ["b", "a", "b", "c", "a"]), (2, []), (3, None), (4, ["a", "a"]), (5, ["A", "d", None, "d"])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    words = spark.createDataFrame([("a",), ("a",), ("d",), (None,), ("zz",)], "word string")
+    want = {1: ["b", "b", "c"], 2: [], 3: [], 4: [], 5: ["A", None]}
+    for listed in (words, words.hint("shuffle_merge")):
+        assert {r.id: r.tokens for r in drop_listed_tokens(docs, listed).collect()} == want

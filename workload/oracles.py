@@ -366,11 +366,30 @@ PREDICT_SQL = f"""WITH {VOCAB}, {CLEAN_DOCS}, {scored("clean_docs", "id", cleane
     prediction, label FROM scored"""
 LABELS_SQL = f"WITH {CLEAN_CORPUS}"
 
+SPLIT = f"""{CLEAN_CORPUS},
+sizes AS (
+  SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM clean_corpus GROUP BY label),
+exact AS (SELECT *, total - ceil(total / 5)::BIGINT AS n_train,
+  n * (total - ceil(total / 5)::BIGINT) AS product FROM sizes),
+quotas AS (
+  SELECT label, n - product // total - CASE WHEN
+      row_number() OVER (ORDER BY product % total DESC, label)
+        <= n_train - sum(product // total) OVER () THEN 1 ELSE 0 END AS n_test
+  FROM exact),
+split AS (
+  SELECT id, label, processed, CASE WHEN row_number() OVER (
+      PARTITION BY label ORDER BY md5('{script.SEED}|' || id), id) <= n_test
+    THEN 'test' ELSE 'train' END AS part
+  FROM clean_corpus JOIN quotas USING (label))"""
+
 ORACLES = {
     "s1_read_corpus": CORPUS_SQL,
     "s1_read_corpus_json": CORPUS_SQL,
     "s1_read_corpus_csv": CORPUS_SQL,
     "s2_read_messages": f"WITH {MSGS} SELECT chat_id, message_id, reply_to, text FROM msgs",
+    "s2_message_store": f"WITH {MSGS} SELECT chat_id, message_id, reply_to, text FROM msgs",
+    "s2_store_of_chats": f"""WITH {CHATS}, {MSGS} SELECT chat_id, message_id, reply_to, text
+      FROM msgs WHERE chat_id IN (SELECT chat_id FROM chats WHERE kind = 'Channel')""",
     "s3_read_chats": f"""WITH {CHATS} SELECT chat_id, username, kind,
       CASE WHEN chat_id = 200 THEN 'Quiet' WHEN chat_id < 100 THEN 'Chat ' || chat_id
         ELSE 'Talk ' || (chat_id - 100) END AS title, linked AS linked_chat_id FROM chats""",
@@ -411,6 +430,8 @@ ORACLES = {
             ("j2_linked_comments", "linked_c"),
             ("j3_own_comments", "own_c"),
             ("j4_comments_with_fallback", "comments"),
+            ("s2_store_linked_comments", "linked_c"),
+            ("s2_store_comments_with_fallback", "comments"),
         )
     },
     "j5_attach_comments": attached("0"),
@@ -452,6 +473,12 @@ ORACLES = {
         array_to_string(list_filter(w, lambda t: t NOT IN ({words(script.STOPWORDS)})), ' ') AS kept,
         array_to_string(list_filter(w, lambda t: t NOT IN ({words(FOLDED)})), ' ') AS kept_folded
       FROM cut""",
+    "t9_drop_listed_words": f"""WITH {DOCS}, cut AS (SELECT id, {tokens("text")} AS w FROM docs),
+      listed AS (SELECT DISTINCT unnest({tokens(fidel("text"))}) AS word FROM benchmark),
+      placed AS (SELECT id, unnest(w) AS token, unnest(range(len(w))) AS place FROM cut),
+      kept AS (SELECT id, string_agg(token, ' ' ORDER BY place) AS kept FROM placed
+        WHERE token NOT IN (SELECT word FROM listed) GROUP BY id)
+      SELECT id, coalesce(kept, '') AS kept FROM docs LEFT JOIN kept USING (id)""",
     "t10_join_tokens": on_docs(
         f"trim(regexp_replace(text, '[{WS}]+', ' ', 'g'))"),
     "t11_clean_text": on_docs(clean("text"), "clean"),
@@ -483,26 +510,26 @@ ORACLES = {
     "m4_corpus_stats": f"""SELECT count(*) AS samples, count(*) FILTER (c <> '') AS usable_samples
       FROM (SELECT {clean("text")} AS c FROM documents)""",
     "m5_distinct_labels": f"WITH {CORPUS} SELECT DISTINCT label FROM corpus",
-    "m6_stratified_split": f"""WITH {CLEAN_CORPUS},
-      sizes AS (
-        SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM clean_corpus GROUP BY label),
-      exact AS (SELECT *, total - ceil(total / 5)::BIGINT AS n_train,
-        n * (total - ceil(total / 5)::BIGINT) AS product FROM sizes),
-      quotas AS (
-        SELECT label, n - product // total - CASE WHEN
-            row_number() OVER (ORDER BY product % total DESC, label)
-              <= n_train - sum(product // total) OVER () THEN 1 ELSE 0 END AS n_test
-        FROM exact)
-      SELECT id, label, CASE WHEN row_number() OVER (
-          PARTITION BY label ORDER BY md5('{script.SEED}|' || id), id) <= n_test
-        THEN 'test' ELSE 'train' END AS part
-      FROM clean_corpus JOIN quotas USING (label)""",
+    "m6_stratified_split": f"WITH {SPLIT} SELECT id, label, part FROM split",
     "m7_class_weights": f"""WITH {CORPUS} SELECT label, count(*) AS rows,
         round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
       FROM corpus GROUP BY label""",
     "m8_fit_is_minimum": f"""WITH {VOCAB}
       SELECT DISTINCT label::INT AS class, (SELECT count(*) FROM vocab) AS n_terms,
         true AS is_minimum FROM clean_corpus""",
+    "m13_train": f"""WITH {SPLIT}, train_tf AS (
+        SELECT id, term, count(*) AS tf
+        FROM (SELECT id, unnest({feature_tokens("processed")}) AS term FROM split WHERE part = 'train')
+        GROUP BY id, term),
+      terms AS (
+        SELECT least(count(*), {script.MAX_FEATURES}) AS n_terms FROM (
+          SELECT term FROM train_tf GROUP BY term HAVING count(*) >= {script.MIN_DF}
+            AND count(*) <= {script.MAX_DF} * (SELECT count(*) FROM split WHERE part = 'train')))
+      SELECT {label_name("label::INT")} AS name, count(*) FILTER (part = 'test') AS support,
+        (SELECT count(*) FROM split WHERE part = 'train') AS train_rows,
+        (SELECT count(*) FROM split WHERE part = 'test') AS test_rows,
+        (SELECT n_terms FROM terms) AS n_terms, true AS report_holds, true AS is_minimum
+      FROM split GROUP BY label""",
     "m9_predict": PREDICT_SQL,
     "m9_predict_long": PREDICT_SQL,
     "m10_accuracy": f"""WITH {MADE}

@@ -19,19 +19,19 @@ from fidelscope.operators import routing as rt
 from fidelscope.operators import scoring as sc
 from fidelscope.operators import sentences as st
 from fidelscope.operators import threads as th
-from fidelscope.operators.model import INTERCEPT
+from fidelscope.operators.wordlists import drop_listed_tokens
+from fidelscope.operators.model import INTERCEPT, TextModel
 from fidelscope.plans.analysis import Report, analyze
-from fidelscope.plans.training import TrainingConfig, fit_model, prepare_corpus, train
+from fidelscope.plans.training import fit_model, prepare_corpus, train
 from fidelscope.session import checkpoint_folder, stage
 from fidelscope.sources import tables
-from fidelscope.sources.models import load_model, save_model
+from fidelscope.sources.message_store import open_messages, write_messages
+from fidelscope.sources.models import load_model, model_tables, save_model
 from fidelscope.sources.reports import write_report
 from workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: More partitions would add a stage to each iteration's job, for corpora of a few thousand rows.
-TRAINING = TrainingConfig(partitions=4)
 
 
 def query(function: Query) -> Query:
@@ -94,6 +94,33 @@ def s2_read_messages(spark, sf):
     return tables.read_messages(spark, path)
 
 
+def message_store(spark, sf):
+    path = fresh_path(spark, "store")
+    write_messages(inputs.messages(spark, sf), path, buckets=8, chat_groups=4)
+    return open_messages(spark, path)
+
+
+@query
+def s2_message_store(spark, sf):
+    return message_store(spark, sf).messages()
+
+
+@query
+def s2_store_of_chats(spark, sf):
+    chats = inputs.chats(spark, sf).where(F.col("kind") == "Channel")
+    return message_store(spark, sf).of_chats(chats)
+
+
+@query
+def s2_store_linked_comments(spark, sf):
+    return message_store(spark, sf).linked_comments(inputs.threads(spark, sf))
+
+
+@query
+def s2_store_comments_with_fallback(spark, sf):
+    return message_store(spark, sf).comments_with_fallback(inputs.threads(spark, sf))
+
+
 @query
 def s3_resolve_chats(spark, sf):
     routed = rt.route_targets(inputs.requests(spark, sf))
@@ -116,7 +143,7 @@ def s5_with_text(spark, sf):
 def s6_save_model(spark, sf):
     path = fresh_path(spark, "model")
     save_model(spark, inputs.model(spark, sf), path)
-    stored = spark.read.parquet(f"{path}/coefficients")
+    _, stored = model_tables(spark, path)
     return stored.select("class", "idx", r6("coef").alias("coef"))
 
 
@@ -183,8 +210,8 @@ def r5_coerce_limit(spark, sf):
 
 
 def nested(spark, sf, **parts: int) -> DataFrame:
-    heads = th.with_text(inputs.threads(spark, sf))
-    comments = th.comments_with_fallback(heads, inputs.messages(spark, sf))
+    heads = stage(th.with_text(inputs.threads(spark, sf)))
+    comments = th.comments_with_fallback(heads, stage(inputs.messages(spark, sf)))
     return th.attach_comments(heads, comments, **parts)
 
 
@@ -344,6 +371,15 @@ def t9_drop_stopwords(spark, sf):
     )
 
 
+@query
+def t9_drop_listed_words(spark, sf):
+    """The list is a table: every word of the benchmark texts."""
+    items = inputs.table(spark, sf, "benchmark").select(inputs.fidel("text").alias("text"))
+    words = items.select(F.explode(tx.tokens("text")).alias("word"))
+    docs = inputs.documents(spark, sf).select("id", tx.tokens("text").alias("tokens"))
+    return drop_listed_tokens(docs, words).select("id", F.array_join("tokens", " ").alias("kept"))
+
+
 @query
 def t10_join_tokens(spark, sf):
     return on_documents(spark, sf, text=F.array_join(tx.tokens("text"), " "))
@@ -505,7 +541,7 @@ def m7_class_weights(spark, sf):
 @query
 def m8_fit_ovr(spark, sf):
     rows = cp.coerce_labels(prepare_corpus(inputs.corpus(spark, sf)))
-    return fit_model(rows, TRAINING).coefficient_table(spark)
+    return fit_model(rows).coefficient_table(spark)
 
 
 #: Largest entry of the loss's gradient, a sum over all rows, that counts as zero.
@@ -516,7 +552,11 @@ FLAT = 0.01
 def m8_fit_is_minimum(spark, sf):
     """Per class, the number of terms and whether the loss is flat at the fitted weights."""
     rows = stage(cp.coerce_labels(prepare_corpus(inputs.corpus(spark, sf))))
-    model = fit_model(rows, TRAINING)
+    return flatness(spark, rows, fit_model(rows))
+
+
+def flatness(spark, rows: DataFrame, model: TextModel) -> DataFrame:
+    """``class, n_terms, is_minimum`` of a model on its training rows ``processed, label``."""
     weighed = ft.weigh_terms(ft.count_terms(rows, model.terms), model.idf)
     scores = ln.class_scores(F.struct("indices", "weights"), model)
     sizes = cp.class_weights(rows).select(F.col("label").alias("class"), F.col("weight").alias("balance"))
@@ -591,7 +631,38 @@ def m12_confusion_matrix(spark, sf):
 
 @query
 def m13_train(spark, sf):
-    return train(inputs.corpus(spark, sf), TRAINING).report()
+    """Per class its test rows, beside the sizes of both parts and of the vocabulary.
+
+    ``report_holds``: the report is that of the stored predictions, recomputed from their pairs;
+    ``is_minimum``: the loss over the training part is flat at the model's weights.
+    """
+    result = train(inputs.corpus(spark, sf))
+    predictions = stage(result.predictions)
+    hits = F.sum((F.col("label") == F.col("prediction")).cast("int"))
+    support = predictions.groupBy("label").agg(F.count("*").alias("support"), hits.alias("hits"))
+    said = predictions.groupBy(F.col("prediction").alias("label")).agg(F.count("*").alias("said"))
+    own = support.join(said, "label", "left").select(
+        lb.label_name("label").alias("name"), F.col("label").alias("class"), "support",
+        F.coalesce(F.col("hits") / F.col("said"), F.lit(0.0)).alias("p"), (F.col("hits") / F.col("support")).alias("r"),
+    )
+    close = F.lit(True)
+    for given, made in (("precision", "p"), ("recall", "r")):
+        close = close & (F.abs(F.col(given) - F.col(made)) < 1e-12)
+    report = result.report().withColumnRenamed("support", "reported")
+    checked = own.join(report, "name").select(
+        "name", "class", "support", (close & (F.col("reported") == F.col("support"))).alias("report_holds")
+    )
+    sizes = {r.part: r.n for r in result.split.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    flat = flatness(spark, result.split.where("part = 'train'"), result.model)
+    return checked.join(flat, "class").select(
+        "name", "support", F.lit(sizes["train"]).cast("bigint").alias("train_rows"),
+        F.lit(sizes["test"]).cast("bigint").alias("test_rows"), "n_terms", "report_holds", "is_minimum",
+    )
+
+
+@query
+def m13_report(spark, sf):
+    return train(inputs.corpus(spark, sf)).report()
 
 
 # --- scoring and report ------------------------------------------------------------------
