@@ -5,16 +5,14 @@ have a segment in which they differ in at most one.  Each segment is indexed onc
 that bit left out; such fingerprints therefore meet under a common variant, and an equality join and
 a count of the differing bits find all links.
 
-A bucket of many different fingerprints is not paired up.  Its members are indexed again, within the
-bucket, by the other segment with one bit left out (where the first segment may differ) or two (where
-it is the same).  Members of such an entry agree in all other bits, so they are links already and
-a star from the smallest one stands for all of them.
+A bucket of many different fingerprints is not paired up.  The bits in which its members may differ are
+cut into three blocks, of which links agree in at least one: so each member is indexed again by each block, within
+the bucket, and what is still crowded by smaller blocks.  In the end so few bits are free that a
+bucket cannot be large.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,8 +25,8 @@ from fidelscope.session import stage
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 SEGMENTS, WIDTH = 2, 32
-#: Members of a bucket that are paired directly; larger ones are indexed by more wildcards.
-PAIRED = 16
+#: Members of a bucket that are paired directly; larger ones are cut up, so many times.
+PAIRED, CUTS = 16, 4
 #: Shingles whose bits are summed in one step.
 STEP = 1 << 16
 
@@ -105,60 +103,62 @@ def near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
 
-def crowded_links(members: DataFrame) -> DataFrame:
-    """Edges ``a, b`` inside buckets of many members, without pairing them.
+#: Per slot the bits that may differ within a bucket: the one left out and the other segment.
+FREE = [signed((1 << place) | (((1 << WIDTH) - 1) << (1 - place // WIDTH) * WIDTH)) for place in range(SEGMENTS * WIDTH)]
+
+
+def block(cut: int, number: int) -> int:
+    """The bits of a block: those whose place has ``number`` as its digit ``cut`` to the base 3, and in the
+    last cut as the sum of its digits."""
+    digits = lambda place: [place // 3**i % 3 for i in range(3)]
+    of = lambda place: digits(place)[cut] if cut < 3 else sum(digits(place)) % 3
+    return sum(1 << place for place in range(64) if of(place) == number)
 
-    Two members of a bucket agree in its segment but for the bit left out.  If they differ there
-    too, the other segment differs in at most one bit; if not, in at most two.  Both are entries
-    whose members agree in everything but two known bits.
-    """
-    bits = F.col("bits")
 
-    def without(place: Column) -> Column:
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
-        return F.bitwise_not(one)
-
-    parts = []
-    for number in range(SEGMENTS):
-        here = members.where(F.floor(F.col("slot") / WIDTH) == number)
-        other = range((1 - number) * WIDTH, (2 - number) * WIDTH)
-        j = F.explode(F.array(*map(F.lit, other))).alias("j")
-        single = here.select("bits", "slot", j).select(
-            (F.col("slot") * 64 + F.col("j")).alias("out"),
-            bits.bitwiseAND(without(F.col("slot"))).bitwiseAND(without(F.col("j"))).alias("rest"),
-            "bits",
-        )
-        # A fingerprint that is crowded at several slots of a segment needs these entries once.
-        e = F.explode(F.array(*(
-            F.struct(F.lit(i * 64 + k).alias("out"), hidden(bits, i, k).alias("rest"))
-            for i, k in combinations(other, 2)
-        ))).alias("e")
-        double = here.select("bits").distinct().select("bits", e).select("e.out", "e.rest", "bits")
-        parts += [single, double]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    # At most four fingerprints agree in 62 bits, so the collected set is bounded.
-    stars = every.groupBy("out", "rest").agg(F.min("bits").alias("a"), F.collect_set("bits").alias("all"))
-    return stars.where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a <> b")
+def fixed(free: str = "free") -> Column:
+    return F.col("bits").bitwiseAND(F.bitwise_not(F.col(free)))
+
+
+def bucket_pairs(members: DataFrame) -> DataFrame:
+    """Links ``a, b`` within buckets of ``members (free, fixed, bits)``."""
+    other = members.select("free", "fixed", F.col("bits").alias("b"))
+    joined = members.select("free", "fixed", F.col("bits").alias("a")).join(other, ["free", "fixed"])
+    return joined.where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all pairs within two bits; ``classes`` has ``bits``."""
+    """All pairs ``a, b`` within two bits; ``classes`` has distinct ``bits``.
+
+    Two that differ in one bit of a segment meet in that bit's bucket, where both values of the bit
+    are present; two that agree in a segment meet in all its buckets, of which the first is enough.
+    """
     index = variants(classes)
+    value = F.call_function("shiftrightunsigned", F.col("bits"), F.col("slot")).bitwiseAND(F.lit(1))
     found = stage(
         index.groupBy("slot", "key")
-        .agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b")).where("n > 1")
+        .agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"),
+             (F.min(value) < F.max(value)).alias("both"))
+        .where((F.col("n") > 1) & (F.col("both") | (F.col("slot") % WIDTH == 0)))
     )
-    two = found.where("n = 2").select("a", "b")
+    edges = found.where("n = 2").select("a", "b").where(near("a", "b"))
     more = found.where("n > 2").select("slot", "key", "n")
-    members = stage(index.join(more, ["slot", "key"]))
-    small = members.where(F.col("n") <= PAIRED)
-    other = small.select("slot", "key", F.col("bits").alias("b"))
-    pairs = small.select("slot", "key", F.col("bits").alias("a")).join(other, ["slot", "key"]).where("a < b")
-    close = two.unionByName(pairs.select("a", "b")).where(near("a", "b"))
-    crowded = crowded_links(members.where(F.col("n") > PAIRED)).where(near("a", "b"))
-    return close.unionByName(crowded).distinct()
+    free = F.element_at(F.array(*map(F.lit, FREE)), F.col("slot") + 1)
+    level = stage(index.join(more, ["slot", "key"]).select(free.alias("free"), F.col("key").alias("fixed"), "bits", "n"))
+    for cut in range(CUTS):
+        edges = edges.unionByName(bucket_pairs(level.where(F.col("n") <= PAIRED)))
+        crowded = level.where(F.col("n") > PAIRED)
+        if crowded.isEmpty():
+            return edges.distinct()
+        less = F.explode(F.array(*(hidden_free(cut, k) for k in range(3)))).alias("free")
+        parts = stage(crowded.select(less, "bits").distinct().withColumn("fixed", fixed()))
+        sizes = parts.groupBy("free", "fixed").agg(F.count("*").alias("n")).where("n > 1")
+        level = stage(parts.join(sizes, ["free", "fixed"]))
+    # After four cuts, of 33 free bits no more than ten are left.
+    return edges.unionByName(bucket_pairs(level)).distinct()
+
+
+def hidden_free(cut: int, number: int) -> Column:
+    return F.col("free").bitwiseAND(F.lit(signed(((1 << 64) - 1) ^ block(cut, number))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
