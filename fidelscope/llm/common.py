@@ -14,6 +14,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is heavy from this share of all rows on, so there are at most this many heavy keys.
 HEAVY_KEYS = 1_000
+#: Bits in one of Spark's bit maps.
+BITMAP = 32_768
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +71,18 @@ def slices(
             start = stop
 
 
+def bit_map(places: DataFrame, column: str, size: int) -> np.ndarray:
+    """``size`` bits as bytes, those at the places in ``column`` set; built in Spark by parts of 4 kB."""
+    part = F.floor(F.col(column) / BITMAP).alias("at")
+    maps = places.groupBy(part).agg(F.bitmap_construct_agg(F.col(column) % BITMAP).alias("bits"))
+    bits = np.zeros(-(-size // 8), np.uint8)
+    for row in maps.toLocalIterator():
+        found = np.frombuffer(row.bits, np.uint8)
+        start = row.at * BITMAP // 8
+        bits[start : start + len(found)] = found[: len(bits) - start]
+    return bits
+
+
 def binary_lengths(col: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelscope.llm.common import join_by_key, map_texts, slices, unused
+from fidelscope.llm.common import bit_map, join_by_key, map_texts, slices, unused
 from fidelscope.llm.near_dedup import components
 from fidelscope.session import stage
 
@@ -27,6 +27,8 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 SEGMENTS, WIDTH = 2, 32
 #: Members of a bucket that are paired directly; larger ones are cut up, so many times.
 PAIRED, CUTS = 16, 4
+#: Bits of the map of buckets, 8 MB, and a factor that keeps equal keys of several slots apart in it.
+CELLS, SPREAD = 1 << 26, 1_048_573
 #: Shingles whose bits are summed in one step.
 STEP = 1 << 16
 
@@ -99,6 +101,39 @@ def variants(classes: DataFrame) -> DataFrame:
     return classes.select("bits", F.explode(F.array(*entries)).alias("e")).select("e.slot", "e.key", "bits")
 
 
+def cell(slot: Column, key: Column) -> Column:
+    """A place in the bit map of buckets; :func:`members_of` computes the same."""
+    value = key.bitwiseXOR(F.shiftrightunsigned(key, WIDTH))
+    mixed = value.bitwiseXOR(F.shiftrightunsigned(value, 7)).bitwiseXOR(slot.cast("long") * SPREAD)
+    return mixed.bitwiseAND(F.lit(CELLS - 1))
+
+
+def members_of(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``slot, key, bits`` of all members of ``buckets (slot, key)``, and few others.
+
+    A bit map of the buckets, of fixed size, goes to every task, so that only their members are shuffled
+    and not the whole index a second time.
+    """
+    places = bit_map(buckets.select(cell(F.col("slot"), F.col("key")).alias("cell")), "cell", CELLS)
+    shared = classes.sparkSession.sparkContext.broadcast(places)
+    slots = np.arange(SEGMENTS * WIDTH, dtype=np.uint64)
+    held = ~np.array(FREE, np.int64).view(np.uint64)
+
+    def run(batches):
+        places = shared.value
+        for batch in batches:
+            bits = batch.column("bits").to_numpy().view(np.uint64)
+            keys = bits[:, None] & held
+            value = keys ^ (keys >> np.uint64(WIDTH))
+            at = (value ^ (value >> np.uint64(7)) ^ (slots * np.uint64(SPREAD))) & np.uint64(CELLS - 1)
+            row, slot = np.nonzero(places[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot.astype(np.int32)), pa.array(keys[row, slot].view(np.int64)), pa.array(bits[row].view(np.int64))],
+                ["slot", "key", "bits"])
+
+    return classes.select("bits").mapInArrow(run, "slot INT, key BIGINT, bits BIGINT")
+
+
 def near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
@@ -143,13 +178,13 @@ def links(classes: DataFrame) -> DataFrame:
     edges = found.where("n = 2").select("a", "b").where(near("a", "b"))
     more = found.where("n > 2").select("slot", "key", "n")
     free = F.element_at(F.array(*map(F.lit, FREE)), F.col("slot") + 1)
-    level = stage(index.join(more, ["slot", "key"]).select(free.alias("free"), F.col("key").alias("fixed"), "bits", "n"))
+    level = stage(members_of(classes, more).join(more, ["slot", "key"]).select(free.alias("free"), F.col("key").alias("fixed"), "bits", "n"))
     for cut in range(CUTS):
         edges = edges.unionByName(bucket_pairs(level.where(F.col("n") <= PAIRED)))
         crowded = level.where(F.col("n") > PAIRED)
         if crowded.isEmpty():
             return edges.distinct()
-        less = F.explode(F.array(*(hidden_free(cut, k) for k in range(3)))).alias("free")
+        less = F.explode(F.array(*(less_free(cut, k) for k in range(3)))).alias("free")
         parts = stage(crowded.select(less, "bits").distinct().withColumn("fixed", fixed()))
         sizes = parts.groupBy("free", "fixed").agg(F.count("*").alias("n")).where("n > 1")
         level = stage(parts.join(sizes, ["free", "fixed"]))
@@ -157,7 +192,7 @@ def links(classes: DataFrame) -> DataFrame:
     return edges.unionByName(bucket_pairs(level)).distinct()
 
 
-def hidden_free(cut: int, number: int) -> Column:
+def less_free(cut: int, number: int) -> Column:
     return F.col("free").bitwiseAND(F.lit(signed(((1 << 64) - 1) ^ block(cut, number))))
 
 
