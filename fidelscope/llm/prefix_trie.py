@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelscope.llm.common import join_by_key, map_texts
+from fidelscope.llm.common import bit_map, join_by_key, map_texts
 from fidelscope.session import stage
 
 #: Turns of one conversation in one group of a running sum.
@@ -28,7 +28,6 @@ START = 32
 #: Counters in each of the sketch's two rows: several per prefix, never more than 2**27, which
 #: bounds the broadcast bit map at 32 MB.
 CELLS_PER_KEY, MOST_CELLS = 4, 1 << 27
-BITMAP = 32_768
 #: Ends of a node are joined in pieces of so many consecutive ids.
 IDS = 16_384
 HALF = (1 << 32) - 1
@@ -143,15 +142,7 @@ def sketch(paths: DataFrame, cells: int) -> np.ndarray:
     mask = F.lit(cells - 1)
     places = F.array(F.col("key.a").bitwiseAND(mask), F.col("key.b").bitwiseAND(mask) + cells)
     counted = paths.select(F.explode(places).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    maps = counted.groupBy(F.floor(F.col("cell") / BITMAP).alias("at")).agg(
-        F.bitmap_construct_agg(F.col("cell") % BITMAP).alias("bits")
-    )
-    bits = np.zeros(2 * cells // 8, np.uint8)
-    for row in maps.toLocalIterator():
-        found = np.frombuffer(row.bits, np.uint8)
-        start = row.at * BITMAP // 8
-        bits[start : start + len(found)] = found[: len(bits) - start]
-    return bits
+    return bit_map(counted, "cell", 2 * cells)
 
 
 def screen(paths: DataFrame, cells: int) -> DataFrame:
