@@ -4,9 +4,9 @@ One hash of each shingle gives a whole signature: its value range is cut into bi
 its smallest hash, and an empty bin borrows from one chosen by hashing (optimal densification).
 Bands of bins put documents into buckets.  A bucket is a star: its best connected member is
 compared with all others, on full shingle sets.  Where the confirmed links leave a bucket in more
-than one component, the members outside the main one become centres too, until no pair of the
-bucket that could join two components is left untested.  What a set has alone among all members
-of such buckets bounds its similarity to any of them; pairs below the bound need no test.
+than one component, a second star starts outside the main one.  What is then still apart is joined
+across components by rare shingles: two similar sets have one of their rarest in common, so no
+pair that could join two components is left untested, and no bucket is paired up.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelscope.llm.common import join_by_key, map_texts, slices, unused
@@ -27,7 +27,7 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: The default of the near-duplicate stages: five words, similarity 0.8.
 SHINGLE, PERCENT = 5, 80
-#: Rounds of one centre per bucket, before every member outside the main component is one.
+#: Rounds of one centre per bucket, before the rest is joined by rare shingles.
 STAR_ROUNDS = 2
 #: A centre's set is sent to at most so many tasks for so many pairs.
 SALTS, PAIRS_PER_SALT = 64, 4_096
@@ -239,37 +239,67 @@ def open_members(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     )
 
 
-def pairs_of(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a centre with the members of its bucket in other components, if a link can be.
-
-    ``n_shingles`` and ``shared`` (those not the set's alone) of both sides bound the similarity:
-    no more than the smaller ``shared`` can be common.
-    """
-    common = F.least("shared", "shared_a")
-    near = common * 100 >= (F.col("n_shingles") + F.col("n") - common) * percent
+def star_pairs(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a centre with the members of its bucket in other components, if the sizes allow a link."""
+    near = F.least("n_shingles", "n") * 100 >= F.greatest("n_shingles", "n") * percent
     return members.join(centres, "key").where((F.col("component") != F.col("of")) & near).select(
         F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")
     ).distinct()
 
 
-def count_shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with ``shared``: how many of the set's shingles another member has too."""
+def explode_sets(sets: DataFrame) -> DataFrame:
+    """``rep, component, n_shingles, shingle`` of ``sets`` with those columns and ``shingles``."""
+    names = ["rep", "component", "n_shingles"]
 
     def run(batches):
         for batch in batches:
             found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
-            reps = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(reps), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["rep", "shingle"])
+            sizes = [len(x) for x in found]
+            columns = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in names]
+            columns.append(pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays(columns, [*names, "shingle"])
+
+    schema = ", ".join(f"{c} BIGINT" for c in (*names, "shingle"))
+    return map_texts(sets.select(*names, "shingles"), run, schema)
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components that may be similar, by their rarest shingles.
 
-    wanted = sets.join(members.select("rep").distinct(), "rep", "left_semi")
-    single = (
-        map_texts(wanted, run, "rep BIGINT, shingle BIGINT").groupBy("shingle")
-        .agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
-        .groupBy("rep").agg(F.count("*").alias("alone"))
+    Each set's shingles are put in one order for all: by the number of components that hold them.
+    Two sets of the wanted similarity must then have a shingle in common so early that enough
+    shingles follow on both sides.  Only such places are joined; a shingle within one component joins nothing,
+    and one that most members share comes last, where too few follow.  Every similar pair is among the result.
+    """
+    own = stage(members.select("rep", "component").distinct())
+    tokens = stage(explode_sets(sets.join(own, "rep")))
+    stats = stage(
+        tokens.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+        .groupBy("shingle").agg(F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    )
+    shared = join_by_key(tokens, stats, "shingle", "size", tokens.count())
+    ordered = Window.partitionBy("rep").orderBy("parts", "shingle")
+    whole = Window.partitionBy("rep")
+    # Shingles of one component come before those counted here.
+    place = F.col("n_shingles") - F.count("*").over(whole) + F.row_number().over(ordered)
+    after = F.col("n_shingles") - F.col("place")
+    early = stage(
+        shared.withColumn("place", place).where((1 + after) * 100 >= F.col("n_shingles") * percent)
+        .select("shingle", "rep", "component", F.col("n_shingles").alias("n"), after.alias("after"))
+    )
+    main = (
+        early.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle")
+        .agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        .select("shingle", F.col("most.component").alias("main"))
     )
-    alone = F.coalesce("alone", F.lit(0))
-    return members.drop("shared").join(single, "rep", "left").withColumn("shared", F.col("n_shingles") - alone).drop("alone")
+    rows = stage(early.join(main, "shingle").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+    left = rows.where("outside").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "after")))
+    once = ~F.col("outside") | (F.col("rep_a") < F.col("rep"))
+    common = 1 + F.least("after", "after_a")
+    enough = common * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
+    return left.join(rows, "shingle").where((F.col("component") != F.col("component_a")) & once & enough).select(
+        F.least("rep_a", "rep").alias("a"), F.greatest("rep_a", "rep").alias("b")
+    ).distinct()
 
 
 def links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -277,26 +307,25 @@ def links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
 
     ``reps`` has ``rep, n_shingles, bands``; ``sets_of`` gives the shingle sets of some of them.
     In the first rounds each bucket has one centre: the best member of all, then the best one
-    outside the main component.  In the last round every member outside is a centre.
+    outside the main component.  What buckets still hold in several components is then joined
+    across them by rare shingles.
     """
-    members = buckets(reps).withColumn("shared", F.col("n_shingles"))
+    members = buckets(reps)
     sets = stage(sets_of(members.select("rep").distinct()))
     total = reps.count()
     edges = tested = parts = None
     for number in range(STAR_ROUNDS + 1):
         rest = open_members(members, parts)
-        if number == STAR_ROUNDS:
-            rest = stage(count_shared(rest, sets))
-        out = rest.where("outside") if number else rest
         if number < STAR_ROUNDS:
-            best = F.max(F.struct(
-                "degree", (-F.col("rep")).alias("minus"), "component", "n_shingles", "shared"))
-            out = out.groupBy("key").agg(best.alias("best")).select(
-                "key", (-F.col("best.minus")).alias("rep"), "best.component", "best.n_shingles", "best.shared")
-        centres = stage(out.select(
-            "key", F.col("rep").alias("a"), F.col("component").alias("of"), F.col("n_shingles").alias("n"),
-            F.col("shared").alias("shared_a")))
-        pairs = pairs_of(rest, centres, percent)
+            out = rest.where("outside") if number else rest
+            best = F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "component", "n_shingles"))
+            centres = out.groupBy("key").agg(best.alias("best")).select(
+                "key", (-F.col("best.minus")).alias("a"), F.col("best.component").alias("of"),
+                F.col("best.n_shingles").alias("n"))
+            pairs = star_pairs(rest, stage(centres), percent)
+        else:
+            sized = sets.withColumn("n_shingles", F.floor(F.octet_length("shingles") / 8))
+            pairs = rare_pairs(rest, sized, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs)
@@ -320,7 +349,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     only classes are put into buckets, so groups of copies cost no pairs.
 
     Similar sets share no bucket at all, and are missed, with a chance below 1e-8 at similarity
-    0.85 and 3e-6 at 0.8.  Nothing that shares a bucket is left out.
+    0.85 and 3e-6 at 0.8.  No similar pair that shares a bucket is left out.
     """
     row = unused(docs, "row")
     numbered = docs.select("doc_id", "text").withColumn(row, F.monotonically_increasing_id())
@@ -357,7 +386,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, a plain scan, that stay, with all their columns."""
+    """The rows of ``docs``, a plain scan, that stay, with all their columns.
+
+    Rows with a null or empty text, or one without words, all stay; of rows repeated whole one does.
+    """
     row = unused(docs, "row")
     kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("row").alias(row))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())

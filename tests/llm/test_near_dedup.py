@@ -85,3 +85,43 @@ def test_very_small_and_single_sets():
     one = np.array([5], np.uint64)
     assert (nd.signature(one) == 5).all()
     assert len(set(nd.band_keys(one).tolist())) == nd.BANDS
+
+
+def template_texts(n, seed=11):
+    """Texts of one template, each with a few words of its own: far more unlinked pairs than links."""
+    rnd = random.Random(seed)
+    words = [f"v{i}" for i in range(60)]
+    base = [f"t{i}" for i in range(60)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rnd.choice([2, 2, 3, 3, 4])):
+            copy[rnd.randrange(len(copy))] = rnd.choice(words)
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_rare_shingles_find_every_link_of_a_template(spark):
+    texts = [" ".join(f"t{i}" for i in range(60)), *template_texts(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs, 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in by_force(texts, 3, 85)]
+
+
+def test_pairs_of_a_template_do_not_grow_with_its_square(spark):
+    counts = []
+    for n in (500, 2000):
+        found = [np.unique(s) for s in nd.Shingler(3).sets(sorted(set(template_texts(n))))]
+        sets = spark.createDataFrame(
+            [(i, i, len(s), s.tobytes()) for i, s in enumerate(found)],
+            "rep BIGINT, component BIGINT, n_shingles BIGINT, shingles BINARY")
+        members = sets.select("rep", "component")
+        pairs = {tuple(r) for r in nd.rare_pairs(members, sets.drop("component"), 85).collect()}
+        counts.append(len(pairs))
+        if n == 500:
+            similar = {(i, j) for j in range(len(found)) for i in range(j)
+                       if 100 * len(np.intersect1d(found[i], found[j])) >= 85 * len(np.union1d(found[i], found[j]))}
+            assert similar and similar <= pairs
+    # Every set is a component of its own here, so links themselves grow with the square; others do not.
+    print(counts)
+    assert counts[1] < 2000 * 2000 / 2 / 20
