@@ -12,23 +12,30 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelscope.llm.common import labelled, map_texts, slices
+from fidelscope.llm.common import fold, map_texts, slices, unused
 from fidelscope.session import stage
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Java's letters and combining marks, as near to Python's as the counts need.
-NOT_LETTERS = r"[^\p{L}\p{M}]+"
-#: Bounds of the fitted model: rows sampled per language, languages, words, n-grams.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_WORDS, MAX_GRAMS = 20_000, 200, 100_000, 100_000
+#: A word is a run of letters and combining marks with a letter in it, for the fit and for predictions.
+WORD = r"\p{M}*\p{L}[\p{L}\p{M}]*"
+WORDS, ASCII_WORDS = regex.compile(WORD), re.compile("[a-z]+")
+#: Bounds of the fitted model: rows sampled per language, languages, words, n-grams.  Words and n-grams
+#: are taken by their shares within each language, so a small language has as many as a large one.
+ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_WORDS, MAX_GRAMS = 20_000, 200, 200_000, 200_000
 LONGEST_GRAM = 5
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
 SCHEMA = "doc_id BIGINT, lang_pred STRING, score DOUBLE"
 
 
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return ASCII_WORDS.findall(text) if text.isascii() else WORDS.findall(text)
+
+
 @dataclass
 class LanguageModel:
     """Log frequency of words and n-grams, a row for each and a column for each language."""
@@ -67,7 +74,7 @@ class LanguageModel:
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
+        counts = Counter(words_of(text)) if text else None
         if not counts or not self.languages:
             return UNKNOWN, 0.0
         weights = np.fromiter(counts.values(), np.float64, len(counts))
@@ -80,11 +87,15 @@ class LanguageModel:
 def fit(docs: DataFrame) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of the rows outside the held-out quarter.
 
-    At most about 20,000 rows per language are sampled, by a hash of the text, for the 200 most
-    frequent languages.  Words and n-grams are counted in Spark; the 100,000 most frequent of each
-    come to the driver.
+    At most about 20,000 rows per language are sampled, by a hash of the row's id and place, so that copies
+    of a text come and go one by one, for the 200 most frequent languages.  Words and n-grams are
+    counted in Spark; the 200,000 of each with the largest shares come to the driver, which bounds the
+    model.  What is cut off there is scored by n-grams, or by shorter ones, like any unseen word.
     """
-    rows = labelled(docs, "lang")
+    row = unused(docs, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).where(
+        (fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    ).select("text", "lang", F.xxhash64("doc_id", row).alias("place"))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     none = np.zeros((0, len(languages)))
@@ -92,11 +103,10 @@ def fit(docs: DataFrame) -> LanguageModel:
         return LanguageModel([], {}, none, {}, none)
     share = F.create_map(*(
         F.lit(x) for r in sizes for x in (r["lang"], min(1.0, ROWS_PER_LANGUAGE / r["count"]))))
-    place = F.crc32(F.concat(F.lit("language"), "text").cast("binary")) / float(1 << 32)
-    sample = rows.where(place < share[F.col("lang")])
-    words = F.explode(F.split(F.lower("text"), NOT_LETTERS))
+    sample = rows.where(F.pmod("place", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     counts = stage(
-        sample.select("lang", words.alias("word")).where("word <> ''").groupBy("lang", "word").count()
+        sample.select("lang", words.alias("word")).groupBy("lang", "word").count()
     )
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     sums = np.array([total.get(name, 0) for name in languages], np.float64)
@@ -126,7 +136,7 @@ def read_counts(counted: DataFrame, name: str, languages: int) -> tuple[list[str
     """A bounded table of names and their counts per language."""
     table = counted.select(name, F.col("counts").cast("array<double>")).toArrow()
     flat = table["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return table[name].to_pylist(), flat.reshape(-1, languages).astype(np.float64)
+    return table[name].to_pylist(), flat.reshape(-1, languages)
 
 
 def count_grams(known: DataFrame, languages: int) -> DataFrame:
@@ -135,13 +145,13 @@ def count_grams(known: DataFrame, languages: int) -> DataFrame:
     A word's own counts are damped by the root, so that frequent words do not drown the rest.
     """
     text = F.concat(F.lit("<"), "word", F.lit(">"))
-    grams = F.flatten(F.array(*(
-        F.when(F.length(text) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-            lambda i, n=n: F.substring(text, i, F.lit(n)),
-        )).otherwise(F.array().cast("array<string>"))
-        for n in range(1, LONGEST_GRAM + 1)
-    )))
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*map(of_length, range(1, LONGEST_GRAM + 1))))
     sums = F.array(*(F.sum(F.sqrt(F.col("counts")[i])) for i in range(languages)))
     return (
         known.select("counts", F.explode(grams).alias("gram")).groupBy("gram")
