@@ -93,3 +93,37 @@ def test_stage_keeps_all_rows_when_nothing_was_learned(spark, tmp_path, labelled
     assert sorted(map(str, kept)) == sorted(map(str, docs.collect()))
     model = tx.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     assert all(r.score < TOXIC_FROM / 100 for r in tx.score(docs, model).collect())
+
+
+def test_columns_that_clash_and_ids_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(tx, "DOCS_PER_CLASS", 20)
+    rows = [(i % 7, f"you iddiot number {i}" if i % 7 % 2 else f"a table of numbers {i}", i, "x", 0.5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT, row STRING, margin DOUBLE")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(1, 1)] * 50, "doc_id BIGINT, toxic INT")
+    seen, whole = [], tx.calibrate
+    monkeypatch.setattr(tx, "calibrate", lambda rows: seen.append(len(rows)) or whole(rows))
+    monkeypatch.setattr(tx, "EVIDENCE", 0.1)
+    model = tx.fit(docs, labels)
+    assert seen == [40] and model.landmarks
+    assert tx.score(docs, model).count() == 400
+    kept = tx.drop_toxic(docs, model, 2.0)
+    assert kept.columns == docs.columns and kept.count() == 400
+
+
+def test_margins_against_plain_scoring(spark, monkeypatch):
+    """Known words, words beyond them, repeated ones, spelled ones and a very long text."""
+    insults = ["scum", "idiot", "moron", "stupid"]
+    model = tx.ToxicityModel(insults, np.array([1.0, 0.8, 0.8, 0.5]), -1.0, len(insults))
+    texts = ["you IDIOT!", "idiot idiot idiot scum", "m o r o n here", None, "", "plain words", "iddioot scxum idiot, stupid",
+             "word " * 200_000 + "stupid moron", "scum scum"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row BIGINT, text STRING")
+    want = {}
+    for i, text in enumerate(texts):
+        words = tx.words_of(text) if text else []
+        margins = dict(zip(words, model.margins([tx.plain(w) for w in words]), strict=True)) if words else {}
+        ranked = sorted((-margins[w], w) for w in words if tx.plain(w) and margins[w] > model.bias)[:3]
+        want[i] = ([-m for m, _ in ranked] + [model.bias] * (3 - len(ranked)), ranked[0][1] if ranked else None)
+    for known in (200_000, 2):
+        monkeypatch.setattr(tx, "KNOWN_WORDS", known)
+        for r in tx.worst_margins(docs, model, "row").collect():
+            assert r.margins == pytest.approx(want[r.row][0]) and r.worst_word == want[r.row][1]
