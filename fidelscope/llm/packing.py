@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelscope.llm.common import map_texts, slices
-from fidelscope.llm.tokens import Encoder, tokenizer_path
+from fidelscope.llm.tokens import tokenizer_path, worker_encoder
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -144,7 +144,7 @@ def pack(
     path = tokenizer or tokenizer_path()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         packer = Packer(tiers, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], "<u4").tobytes()
         for batch, _ in slices(batches, "text", 2 << 20):

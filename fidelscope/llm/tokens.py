@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -100,3 +101,9 @@ class Encoder:
         return [
             self.whole([text])[0] if f is None else b"".join(f) for text, f in zip(texts, found, strict=True)
         ]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """The worker process's own encoder: words met by earlier tasks of the worker are still known."""
+    return Encoder(path)
