@@ -77,9 +77,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> ExactDedup
     * A text that the index knows stays with the id stored there; all its rows are dropped.
     * ``group_size`` counts rows of ``docs`` only.  An empty table gives no rows.
 
-    Groups are combined before the shuffle, and hot digests are looked up by broadcast.
+    Groups are combined before the shuffle, and hot digests are looked up by broadcast.  Without an
+    ``index`` a new one is made, whose name is forgotten afterwards; its files stay at ``index.path``.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark)
     slim = stage(
         docs.select(
@@ -98,6 +100,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> ExactDedup
     entries = fresh.unionByName(known.join(stored, "digest"), allowMissingColumns=True)
     entries = stage(entries)
     index.append(fresh)
+    if own:
+        index.close()
     rows = join_by_key(slim, entries, "digest", "group_size", slim.count())
     kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))
     return ExactDedup(rows.withColumn("kept", kept).drop("keep_row"), index)
@@ -106,7 +110,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> ExactDedup
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    ``docs`` must be a plain scan, so that both reads number its rows alike.
+    ``docs`` must be a plain scan, so that both reads number its rows alike.  One row of each text
+    stays: null and empty texts are one text, rows repeated whole leave one, an empty table stays empty.
     """
     row = unused(docs, "row")
     kept = deduplicate(docs, index).rows.where("kept").select(F.col("row").alias(row))

@@ -33,15 +33,23 @@ def op1_url_filter(spark, sf):
 
 @query
 def op9_exact_dedup(spark, sf):
-    rows = exact_dedup.deduplicate(table(spark, sf, "documents")).rows
-    return rows.select(
-        "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
+    """The table comes as a first batch; the same table then comes again, and all of it is known."""
+    docs = table(spark, sf, "documents")
+    index = exact_dedup.DigestIndex(spark)
+    rows = exact_dedup.deduplicate(docs, index).rows
+    again = exact_dedup.deduplicate(docs, index).rows.select(
+        "row", F.col("keep_id").alias("known_as"), F.col("kept").alias("kept_again")
+    )
+    index.close()
+    return rows.join(again, "row").select(
+        "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), "known_as", "kept_again"
     )
 
 
 ORACLES["op9_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256,
+       max(doc_id) OVER g AS known_as, false AS kept_again
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
@@ -219,7 +227,9 @@ def op4_substring_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"),
+        # What is left, as text; a cut character shows as U+FFFD.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
     )
 
 
