@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -39,12 +40,17 @@ COMMON = 1 << 20
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+@lru_cache(maxsize=1)
+def byte_table() -> dict[str, int]:
+    """The byte of each character of a byte-level vocabulary: printable ones stand for themselves, the
+    others for the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def byte_level(token: str) -> bytes:
-    """The bytes that a byte-level token stands for."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    table = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    return bytes(table[c] for c in token)
+    return bytes(map(byte_table().__getitem__, token))
 
 
 class Sides:
@@ -206,6 +212,12 @@ class Aligner:
         return out[out != 0].tobytes(), widths[place_b[unit_ends]]
 
 
+@lru_cache(maxsize=1)
+def worker_aligner(path_a: str, path_b: str) -> Aligner:
+    """The worker process's own aligner: words met by its earlier tasks are still known."""
+    return Aligner(path_a, path_b)
+
+
 class Document:
     def __init__(self, doc_id: int | None, row: int):
         self.doc_id, self.row, self.whole = doc_id, row, True
@@ -258,7 +270,7 @@ def align(docs: DataFrame, row: str = "row", tokenizer_a: str | None = None, tok
     names = [c.split()[0] for c in ALIGNED.format(row=row).split(", ")]
 
     def run(batches):
-        aligner = Aligner(path_a, path_b)
+        aligner = worker_aligner(path_a, path_b)
         for batch, _ in slices(batches, "text", 2 << 20):
             found = [Document(d, r) for d, r in zip(batch.column("doc_id").to_pylist(), batch.column(row).to_pylist(), strict=True)]
             some, texts, size = [], [], 0
