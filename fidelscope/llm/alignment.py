@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelscope.llm.common import map_texts, slices, unused
-from fidelscope.llm.tokens import OTHER, Encoder, tokenizer_path
+from fidelscope.llm.tokens import OTHER, Encoder, byte_table, tokenizer_path
 from fidelscope.session import stage
 
 #: A space here ends a token on both sides, whatever stands around it.
@@ -40,19 +41,6 @@ COMMON = 1 << 20
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-@lru_cache(maxsize=1)
-def byte_table() -> dict[str, int]:
-    """The byte of each character of a byte-level vocabulary: printable ones stand for themselves, the
-    others for the characters from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-def byte_level(token: str) -> bytes:
-    return bytes(map(byte_table().__getitem__, token))
-
-
 class Sides:
     """Both tokenizers, and the ids of words met lately."""
 
@@ -63,9 +51,10 @@ class Sides:
         self.b = SentencePieceProcessor(model_file=path_b)
         vocabulary = self.a.tokenizer.get_vocab()
         special = self.a.tokenizer.get_added_tokens_decoder()
+        table = byte_table()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes_a[i] = token.encode() if i in special else byte_level(token)
+            self.bytes_a[i] = token.encode() if i in special else bytes(map(table.__getitem__, token))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
@@ -94,13 +83,35 @@ class Sides:
         for some, front, cut in ((plain, " ", 0), (after, "", 1)):
             for at in range(0, len(some), 2_000):
                 part = some[at : at + 2_000]
-                for w, a, b in zip(part, self.a.lines([front + w[cut:] for w in part]), self.b.encode(part, num_threads=1), strict=True):
+                ids_a = self.a.lines([front + w[cut:] for w in part])
+                ids_b = self.b.encode(part, num_threads=1)
+                if cut:
+                    ids_a = [self.a.newline + a for a in ids_a]
                     # B puts a space before the line break, which belongs to nothing here.
-                    self.known[w] = self.checked(
-                        self.a.newline + a if cut else a, b[1:] if cut and b[0] == self.space else b, (front + w).encode())
+                    ids_b = [b[1:] if b[0] == self.space else b for b in ids_b]
+                self.keep(part, ids_a, ids_b, [(front + w).encode() for w in part])
         if "\n" in words:
             self.known["\n"] = self.checked(self.a.newline, self.b.encode("\n")[1:], b"\n")
 
+    def keep(self, words: list[str], ids_a: list[bytes], ids_b: list[list[int]], raw: list[bytes]) -> None:
+        """Keep the ids of words, all compared with their bytes at once, or one by one if that fails."""
+        flat_a = np.frombuffer(b"".join(ids_a), "<u4")
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.uint32)
+        both = ((flat_a, [len(i) // 4 for i in ids_a], self.bytes_a, self.lengths_a),
+                (flat_b, [len(i) for i in ids_b], self.bytes_b, self.lengths_b))
+        sizes, whole = np.array([len(r) for r in raw]), b"".join(raw)
+        same = all(
+            b"".join(map(table.__getitem__, flat.tolist())) == whole
+            and (np.diff(np.append(0, np.append(0, np.cumsum(lengths[flat]))[np.cumsum(counts)])) == sizes).all()
+            for flat, counts, table, lengths in both
+        )
+        if same:
+            packed, ends = flat_b.astype("<u4").tobytes(), (4 * np.cumsum(both[1][1])).tolist()
+            starts = [0, *ends[:-1]]
+            self.known.update(zip(words, zip(ids_a, [packed[s:e] for s, e in zip(starts, ends, strict=True)], strict=True), strict=True))
+        else:
+            self.known.update((w, self.checked(a, b, r)) for w, a, b, r in zip(words, ids_a, ids_b, raw, strict=True))
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of a space and the text on both sides, None where one loses bytes."""
         if len(self.known) > WORDS_KEPT:

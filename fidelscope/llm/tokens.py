@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -14,7 +15,11 @@ PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85]")
 #: A text without other white space than single spaces and line breaks is cut by split().
 OTHER = re.compile("[^\\S \\n]")
+#: Characters whose classes no Unicode version of the last ten years has changed.
+SETTLED = re.compile("[\x00-\u04ff]*")
 CACHE_PARTS = 1_000_000
+#: The pieces into which a byte-level tokenizer cuts a text before it merges bytes.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,6 +46,39 @@ def keys_of(text: str) -> list[str] | None:
     return [f"\0{p}" if p.isspace() else p[1:] if p[0] == " " else f" {p}" for p in parts]
 
 
+def byte_table() -> dict[str, int]:
+    """The byte of each character of a byte-level vocabulary: printable ones stand for themselves, the
+    others for the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+@lru_cache(maxsize=2)
+def byte_merger(path: str):
+    """The tokenizer's vocabulary in a faster library, where that gives the same ids; else None.
+
+    So it is for a plain byte-level vocabulary whose ids count the single bytes and then the merges.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    vocabulary, table = spec["model"].get("vocab"), byte_table()
+    cut = spec.get("pre_tokenizer") or {}
+    if spec["model"]["type"] != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel":
+        return None
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+    in_order = all(vocabulary.get(m) == 256 + i for i, m in enumerate(merges))
+    if cut.get("add_prefix_space") or not cut.get("use_regex") or not in_order:
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(map(table.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
+    if len(ranks) != 256 + len(merges) or sorted(ranks[bytes([b])] for b in range(256)) != list(range(256)):
+        return None
+    return tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids; a special token's name is plain text."""
 
@@ -52,6 +90,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merger = byte_merger(path)
         self.newline = self.whole(["\n"])[0]
         # Parts used lately, and those used before them; what is used again stays.
         self.cache: dict[str, bytes] = {}
@@ -63,7 +102,17 @@ class Encoder:
 
     def lines(self, words: list[str]) -> list[bytes]:
         """Ids of words without line breaks, encoded as the lines of one text."""
-        ids = np.frombuffer(self.whole(["\n".join(words)])[0], "<u4")
+        joined = "\n".join(words)
+        if self.merger and not SETTLED.fullmatch(joined):
+            settled = [bool(SETTLED.fullmatch(w)) for w in words]
+            if any(settled):
+                found = [iter(self.lines([w for w, s in zip(words, settled, strict=True) if s == kind])) for kind in (False, True)]
+                return [next(found[s]) for s in settled]
+            ids = np.frombuffer(self.whole([joined])[0], "<u4")
+        elif self.merger:
+            ids = np.array(self.merger.encode_ordinary(joined), "<u4")
+        else:
+            ids = np.frombuffer(self.whole([joined])[0], "<u4")
         end = np.frombuffer(self.newline, "<u4")
         ends = np.append(np.flatnonzero(ids == end[0]), len(ids))
         if len(end) != 1 or len(ends) != len(words):

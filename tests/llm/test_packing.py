@@ -110,3 +110,16 @@ def test_documents_round_trip(spark, tokenizer, sf_dir):
         windows[row[4]] += row[2]
     padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in windows.values())
     assert padded < 0.02 * tokens
+
+
+def test_faster_merges_give_the_tokenizers_ids(tokenizer):
+    from fidelscope.llm.tokens import Encoder, tokenizer_path
+
+    encoder = Encoder(tokenizer_path())
+    assert encoder.merger is not None
+    words = [" don't", " we'll", " ½²", "x=1;y==2", " été", " ქართული", " 日本語", " a͸b", " 😀😀", " naïve", "…", " l'été", " I'M", " 'tis", ""]
+    want = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert encoder.lines(words) == want and encoder.lines(words[:3]) == want[:3] and encoder.lines(words[5:7]) == want[5:7]
+    slow = Encoder(tokenizer_path())
+    slow.merger = None
+    assert slow.lines(words) == want
