@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,28 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside when the block ends.
+
+    Results that read staged frames have to be written within the block.  Blocks may be nested; each
+    deletes its own.
+    """
+    paths: list[str] = []
+    token = _STAGED.set(paths)
+    try:
+        yield
+    finally:
+        _STAGED.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Materialise a frame that several outputs read.
 
@@ -50,5 +75,7 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    if (paths := _STAGED.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

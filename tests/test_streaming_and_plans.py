@@ -1,7 +1,10 @@
+import os
+
 from pyspark.sql import functions as F
 
 from fidelscope.operators import features, report, scoring
 from fidelscope.operators.threads import with_text
+from fidelscope.session import stage, staging
 from fidelscope.sources.tables import MESSAGE_SCHEMA, read_messages
 from fidelscope.streaming.scoring import score_stream, stream_messages, write_scored
 from tests_model import small_model
@@ -70,3 +73,18 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = ["message_id", "sent_idx", "processed", "label"]
     stored = spark.read.parquet(out).select(*cols).collect()
     assert stored and sorted(stored) == sorted(batch.select(*cols).collect())
+
+
+def test_staged_folders_go_with_their_scope(spark, tmp_path):
+    out = str(tmp_path / "out")
+    with staging(spark):
+        outer = stage(spark.range(5))
+        with staging(spark):
+            inner = stage(outer.where("id > 2"))
+            inner.write.parquet(out)
+            gone = inner.inputFiles()[0].removeprefix("file://")
+        assert not os.path.exists(gone) and outer.count() == 5
+        left = outer.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(left) and spark.read.parquet(out).count() == 2
+    kept = stage(spark.range(2))
+    assert kept.count() == 2
