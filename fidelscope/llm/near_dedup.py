@@ -169,7 +169,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """``rep, component`` for every end of an edge: the smallest id that can be reached.
 
-    Alternates two steps until nothing changes: hang each node's larger neighbours on its
+    Alternates two steps until only stars are left: hang each node's larger neighbours on its
     smallest one, then each node with its smaller neighbours.  Hot nodes are joined by broadcast.
     """
     edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -180,8 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("from").alias("u"), F.col("m").alias("v"))
         )).alias("e")).select("e.*").where("u > v").distinct()
         small = stage(small)
-        # Both steps only ever lower a node's parent: equal edge sets mean that all are stars.
-        if same(small, edges):
+        # Both steps keep what is connected: when all are stars, each is a component.
+        if only_stars(small):
             return small.select(F.col("u").alias("rep"), F.col("v").alias("component")).unionByName(
                 small.select(F.col("v").alias("rep"), F.col("v").alias("component")).distinct()
             )
@@ -198,9 +198,13 @@ def hang(edges: DataFrame) -> DataFrame:
     )
 
 
-def same(left: DataFrame, right: DataFrame) -> bool:
-    mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    return left.agg(*mark).first() == right.agg(*mark).first()
+def only_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has a single ``v``, and no ``v`` hangs on another node itself."""
+    lower, upper = F.lit(0).alias("ends"), F.lit(1).alias("ends")
+    nodes = edges.select("u", upper).unionByName(edges.select(F.col("v").alias("u"), lower))
+    worst = nodes.groupBy("u").agg(F.sum("ends").alias("up"), F.count_if(F.col("ends") == 0).alias("down"))
+    bad = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
+    return not worst.agg(F.max(bad)).first()[0]
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -273,11 +277,10 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     own = stage(members.select("rep", "component").distinct())
     tokens = stage(explode_sets(sets.join(own, "rep")))
-    stats = stage(
-        tokens.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-        .groupBy("shingle").agg(F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    )
-    shared = join_by_key(tokens, stats, "shingle", "size", tokens.count())
+    stats = tokens.select("shingle", "component").distinct().groupBy("shingle").agg(
+        F.count("*").alias("parts")).where("parts > 1")
+    # A shingle that most sets hold is a hot key, whose rows the adaptive skew join splits.
+    shared = tokens.join(stats, "shingle")
     ordered = Window.partitionBy("rep").orderBy("parts", "shingle")
     whole = Window.partitionBy("rep")
     # Shingles of one component come before those counted here.
