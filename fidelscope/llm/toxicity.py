@@ -14,11 +14,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelscope.llm.common import bit_map, fold, map_texts, slices, unused
+from fidelscope.llm.common import fold, map_texts, slices
 from fidelscope.session import stage
 
 #: Subsequences may skip characters within this many; every skipped one costs this factor.
@@ -36,9 +35,7 @@ EVIDENCE = 7.0
 WORST = 3
 #: Bounds of the fit: sampled documents per class, training words, landmarks of each kind.
 DOCS_PER_CLASS, TRAINING_WORDS, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 6_000, 30_000, 200, 200
-#: Distinct words that a task collects before it hands them on, and marked words that every task holds:
-#: those with the largest margins.  Bits that tell which words may be among the other marked ones.
-TASK_WORDS, KNOWN_WORDS, BITS = 300_000, 200_000, 1 << 24
+CACHE_WORDS = 600_000
 #: Calibration when nothing was learned: whatever the margins, a score below 1e-4.
 CLEAN = np.r_[np.zeros(WORST), -10.0]
 SENTENCE_END = r"[.!?\n]+"
@@ -48,6 +45,7 @@ INNER = re.compile(r"[\W_]+")
 #: Digits and signs that stand for a letter inside a word.
 LOOKALIKES = str.maketrans("01345@$", "oieasas")
 SPELLED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+SCHEMA = "doc_id BIGINT, score DOUBLE, worst_word STRING"
 
 
 def plain(word: str) -> str:
@@ -116,17 +114,21 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    """Landmark words, the weights of their kernels, and the calibration of the worst words."""
+    """Landmark words, the weights of their kernels, and the calibration of the worst word."""
 
     landmarks: list[str]
     weights: np.ndarray
     bias: float
     n_toxic: int = 0
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(WORST + 1))
+    #: Words judged so far, and the margins of those above the bias.
+    seen: set[str] = field(default_factory=set, repr=False)
+    older: set[str] = field(default_factory=set, repr=False)
+    bad: dict[str, float] = field(default_factory=dict, repr=False)
     tables: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "tables": None}
+        return {**self.__dict__, "seen": set(), "older": set(), "bad": {}, "tables": None}
 
     def kernels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of words that are near any landmark, and their kernels with all landmarks."""
@@ -181,108 +183,37 @@ class ToxicityModel:
             yield order[a:b]
             a = b
 
-
-# --- marked words of a corpus -------------------------------------------------------------
-
-
-def marked_words(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``word, margin`` of all words in ``docs`` above the bias; each distinct form is judged once."""
-    if not model.landmarks:
-        return docs.sparkSession.createDataFrame([], "word STRING, margin DOUBLE")
-
-    def collect(batches):
-        found: set[str] = set()
-        for batch, _ in slices(batches, "text", 2 << 20):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    found.update(words_of(text))
-                if len(found) > TASK_WORDS:
-                    yield rows(found)
-                    found = set()
-        yield rows(found)
-
-    def rows(found):
-        forms = [(w, f) for w in found if (f := plain(w))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in forms], pa.string()), pa.array([f for _, f in forms], pa.string())], ["word", "form"])
-
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches):
-        model = shared.value
-        for batch in batches:
-            forms = batch.column("form").to_pylist()
-            distinct = list(dict.fromkeys(forms))
-            margins = dict(zip(distinct, model.margins(distinct).tolist(), strict=True))
-            values = np.array([margins[f] for f in forms])
-            marked = values > model.bias
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word").filter(pa.array(marked)), pa.array(values[marked])], ["word", "margin"])
-
-    # As many tasks as shuffles have: the rows are few and small, the work on each is not.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = map_texts(docs.select("text"), collect, "word STRING, form STRING").distinct()
-    return words.repartition(tasks, "form").sortWithinPartitions("form").mapInArrow(judge, "word STRING, margin DOUBLE")
-
-
-def worst_margins(docs: DataFrame, model: ToxicityModel, row: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``row``, ``carry``, ``margins`` (of the three worst words, repeated ones counted) and ``worst_word``.
-
-    Words of equal margin are in alphabetical order.  The marked words with the largest margins, as many as
-    fit :data:`KNOWN_WORDS`, are looked up where the text lies; occurrences of others are joined with their table.
-    """
-    spark = docs.sparkSession
-    marked = stage(marked_words(docs, model))
-    known = marked.orderBy(F.desc("margin"), "word").limit(KNOWN_WORDS)
-    table = known.toArrow()
-    others = stage(marked.join(F.broadcast(known.select("word")), "word", "left_anti"))
-    bits = bit_map(others.select(F.pmod(F.xxhash64("word"), F.lit(BITS)).alias("place")), "place", BITS)
-    shared = spark.sparkContext.broadcast(
-        (dict(zip(table["word"].to_pylist(), table["margin"].to_pylist(), strict=True)), bits if bits.any() else None))
-
-    def run(batches):
-        margins, bits = shared.value
-        for batch, _ in slices(batches, "text", 2 << 20):
-            top, hits = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text) if text else []
-                present = set(words)
-                ranked = sorted((-margins[w], w) for w in margins.keys() & present)[:WORST]
-                top.append([{"m": m, "word": w} for m, w in ranked for _ in range(min(words.count(w), WORST))][:WORST])
-                rest = [w for w in present if w not in margins and may_be(w, bits)] if bits is not None else []
-                hits.append([{"word": w, "n": min(words.count(w), WORST)} for w in rest])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in (row, *carry)] + [pa.array(top, top_type), pa.array(hits, hit_type)],
-                [row, *carry, "top", "hits"])
-
-    top_type = pa.list_(pa.struct([("m", pa.float64()), ("word", pa.string())]))
-    hit_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in (row, *carry))
-    found = stage(map_texts(
-        docs.select(row, *carry, "text"), run,
-        f"{kinds}top ARRAY<STRUCT<m: DOUBLE, word: STRING>>, hits ARRAY<STRUCT<word: STRING, n: INT>>"))
-    entry = F.struct((-F.col("margin")).alias("m"), "word")
-    more = found.select(row, F.inline("hits")).join(others, "word").groupBy(row).agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat(entry, F.col("n"))))), 1, WORST).alias("more"))
-    every = F.slice(F.sort_array(F.concat("top", F.coalesce("more", F.slice("top", 1, 0)))), 1, WORST)
-    padded = F.concat(F.transform("worst", lambda w: -w["m"]), F.array_repeat(F.lit(model.bias), WORST))
-    return found.join(more, row, "left").withColumn("worst", every).select(
-        row, *carry, F.slice(padded, 1, WORST).alias("margins"), F.get("worst", F.lit(0))["word"].alias("worst_word"))
-
-
-def may_be(word: str, bits: np.ndarray) -> bool:
-    place = xxhash.xxh64_intdigest(word.encode(), 42) % BITS
-    return bool(bits[place >> 3] >> (place & 7) & 1)
-
-
-def probability(model: ToxicityModel) -> Column:
-    """The calibrated score of ``margins``."""
-    terms = [F.get("margins", F.lit(i)) * F.lit(float(c)) for i, c in enumerate(model.calibration[:-1])]
-    total = sum(terms, F.lit(float(model.calibration[-1])))
-    return 1.0 / (1.0 + F.exp(-F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0))))
-
-
-# --- the fit ------------------------------------------------------------------------------
+    def worst(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+        """The largest margins of each text's words, repeated ones counted, and the worst word."""
+        per_text = [words_of(text) if text else [] for text in texts]
+        present = set().union(*per_text)
+        missing = present - self.seen
+        if len(self.seen) + len(missing) > CACHE_WORDS // 2:
+            # Words used lately stay; margins are kept for all words that may still be known.
+            self.older, self.seen = self.seen, set()
+            missing = present
+            known = self.older | present
+            self.bad = {w: m for w, m in self.bad.items() if w in known}
+        again = missing & self.older
+        self.seen |= again
+        missing = list(missing - again)
+        forms = [plain(w) for w in missing]
+        distinct = sorted(set(forms))
+        margins = self.margins(distinct)
+        found = {distinct[i]: float(margins[i]) for i in np.flatnonzero(margins > self.bias)}
+        self.bad.update((w, found[f]) for w, f in zip(missing, forms, strict=True) if f in found)
+        self.seen.update(missing)
+        out, worst = np.full((len(texts), WORST), self.bias), []
+        for i, words in enumerate(per_text):
+            ranked = sorted((-self.bad[w], w) for w in self.bad.keys() & set(words))[:WORST]
+            values = [-m for m, w in ranked for _ in range(min(words.count(w), WORST))][:WORST]
+            out[i, : len(values)] = values
+            worst.append(ranked[0][1] if ranked else None)
+        return out, worst
+
+    def probability(self, margins: np.ndarray) -> np.ndarray:
+        x = np.c_[margins, np.ones(len(margins))]
+        return 1.0 / (1.0 + np.exp(-np.clip(x @ self.calibration, -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -339,11 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         near = counts.select("word", "bad", "good").mapInArrow(near_words(docs, model), "word STRING, bad BIGINT, good BIGINT")
         merged = by_form(near.orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(TRAINING_WORDS))
         model = train(model.landmarks, sorted(merged.items()))
-    if model.landmarks:
-        margins = worst_margins(sample, model, "row", ("toxic",))
-        model.calibration = calibrate(margins.select("toxic", "margins").collect())
-    else:
-        model.calibration = CLEAN
+    margins = map_texts(sample.select("toxic", "text"), margin_reader(docs, model), "toxic INT, margins ARRAY<DOUBLE>")
+    model.calibration = calibrate(margins.collect()) if model.landmarks else CLEAN
     return model
 
 
@@ -424,24 +352,54 @@ def calibrate(rows: list) -> np.ndarray:
     return w
 
 
+def margin_reader(docs: DataFrame, model: ToxicityModel):
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def read(batches):
+        for batch, _ in slices(batches, "text", 2 << 20):
+            margins, _ = shared.value.worst(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic").cast(pa.int32()), pa.array(margins.tolist(), pa.list_(pa.float64()))],
+                ["toxic", "margins"],
+            )
+
+    return read
+
+
+def scorer(docs: DataFrame, model: ToxicityModel):
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches):
+        for batch, _ in slices(batches, "text", 2 << 20):
+            margins, words = shared.value.worst(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(shared.value.probability(margins)),
+                 pa.array(words, pa.string())], ["doc_id", "score", "worst_word"],
+            )
+
+    return score
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``doc_id, row, score, worst_word`` for every row of ``docs``, a scan, from its whole text alone.
+    """``doc_id, score, worst_word`` for every row, from its whole text alone.
 
     A null or empty text, or one without a letter, has the score of a text without any toxic
-    word.  Repeated rows are scored one by one; other columns are ignored; an empty table gives no rows.
-    ``row`` numbers the rows of the scan.
+    word.  Repeated rows are scored one by one.
     """
-    numbered = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
-    return worst_margins(numbered, model, "row", ("doc_id",)).select(
-        "doc_id", "row", probability(model).alias("score"), "worst_word")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), scorer(docs, model), SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
-    """The rows of ``docs``, a scan, scored below the threshold, with all their columns.
+    """The rows of ``docs`` scored below the threshold, with all their columns.
 
     Rows with a null or empty text stay (unless the threshold is below the score of a text without toxic words); of
-    repeated rows all stay or none.
+    repeated rows all stay or none; an empty table stays empty.
     """
-    row = unused(docs, "row")
-    toxic = score(docs, model).where(F.col("score") >= threshold).select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(toxic, row, "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch, _ in slices(batches, "text", 2 << 20):
+            margins, _ = shared.value.worst(batch.column("text").to_pylist())
+            yield batch.filter(pa.array(shared.value.probability(margins) < threshold))
+
+    return map_texts(docs, keep, docs.schema)

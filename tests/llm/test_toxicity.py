@@ -110,20 +110,18 @@ def test_columns_that_clash_and_ids_that_repeat(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == 400
 
 
-def test_margins_against_plain_scoring(spark, monkeypatch):
-    """Known words, words beyond them, repeated ones, spelled ones and a very long text."""
+def test_margins_against_plain_scoring():
+    """Repeated words, spelled ones, ties and a very long text, with and without words met before."""
     insults = ["scum", "idiot", "moron", "stupid"]
     model = tx.ToxicityModel(insults, np.array([1.0, 0.8, 0.8, 0.5]), -1.0, len(insults))
     texts = ["you IDIOT!", "idiot idiot idiot scum", "m o r o n here", None, "", "plain words", "iddioot scxum idiot, stupid",
              "word " * 200_000 + "stupid moron", "scum scum"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "row BIGINT, text STRING")
-    want = {}
-    for i, text in enumerate(texts):
+    want = []
+    for text in texts:
         words = tx.words_of(text) if text else []
         margins = dict(zip(words, model.margins([tx.plain(w) for w in words]), strict=True)) if words else {}
         ranked = sorted((-margins[w], w) for w in words if tx.plain(w) and margins[w] > model.bias)[:3]
-        want[i] = ([-m for m, _ in ranked] + [model.bias] * (3 - len(ranked)), ranked[0][1] if ranked else None)
-    for known in (200_000, 2):
-        monkeypatch.setattr(tx, "KNOWN_WORDS", known)
-        for r in tx.worst_margins(docs, model, "row").collect():
-            assert r.margins == pytest.approx(want[r.row][0]) and r.worst_word == want[r.row][1]
+        want.append(([-m for m, _ in ranked] + [model.bias] * (3 - len(ranked)), ranked[0][1] if ranked else None))
+    for _ in range(2):
+        margins, worst = model.worst(texts)
+        assert margins.tolist() == [pytest.approx(m) for m, _ in want] and worst == [w for _, w in want]
