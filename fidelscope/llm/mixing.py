@@ -132,7 +132,11 @@ def mix(
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, a plain scan, each as often as the mixture has it."""
+    """The rows of ``docs``, a plain scan, each as often as the mixture has it.
+
+    Every row comes at least once.  A null or empty text has no token and takes no budget; rows repeated with one
+    doc_id are rows of their own; an empty table stays empty.
+    """
     row, times = unused(docs, "row"), unused(docs, "times")
     counts = mix(docs, **options).rows.groupBy("row").agg(F.count("*").alias(times))
     counts = counts.withColumnRenamed("row", row)
