@@ -35,7 +35,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in packed sequences; every document is packed whole."""
+    """Pieces of token ids in packed sequences; every row is packed whole, with the end id behind it.
+
+    A null or empty text is the end id alone; repeated rows are packed one by one; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
