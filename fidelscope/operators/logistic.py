@@ -1,8 +1,8 @@
 """Logistic losses of several classes over the same rows, minimised together.
 
 Rows lie as sparse blocks, one per Arrow batch.  One pass over them gives the loss and the gradient
-of every class, summed within each task and then through a tree, so the driver takes in a bounded
-number of sums.  Each class takes its own quasi-Newton step from its pass; one pass is one iteration
+of every class, summed within each task and then through a tree, so the driver takes in a few sums
+a pass, however many tasks there are.  Each class takes its own quasi-Newton step from its pass; one pass is one iteration
 of all classes.
 """
 
@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sums that one task of the tree, or the driver, adds up.
-FAN_IN = 64
+#: Sums that one task of the tree adds up, and the driver: a sum has all weights, and every pass sends it.
+FAN_IN, AT_DRIVER = 64, 4
 #: Steps that a quasi-Newton direction remembers.
 MEMORY = 20
 BLOCK = "classes BINARY, sizes BINARY, places BINARY, values BINARY"
@@ -73,12 +73,14 @@ def evaluate(blocks: DataFrame, parts: int, weights: np.ndarray, costs: np.ndarr
         return add(total)
 
     def merge(batches):
-        sums = [np.frombuffer(x.as_buffer()) for b in batches for x in b.column("total")]
+        sums = [(p.as_py(), np.frombuffer(x.as_buffer())) for b in batches for p, x in zip(*b.columns, strict=True)]
+        # Added in the order of the parts, whichever arrives first.
+        sums = [total for _, total in sorted(sums, key=lambda s: s[0])]
         return add(np.sum(sums, axis=0).reshape(len(weights), -1)) if sums else iter(())
 
     schema = "part INT, total BINARY"
     sums = blocks.mapInArrow(run, schema)
-    while parts > FAN_IN:
+    while parts > AT_DRIVER:
         parts = -(-parts // FAN_IN)
         sums = sums.repartition(parts, F.col("part") % parts).mapInArrow(merge, schema)
     total = np.zeros((len(weights), weights.shape[1] + 1))

@@ -213,3 +213,17 @@ def test_metrics_refuse_other_classes(spark):
     for table in (metrics.classification_report(pairs), metrics.confusion_matrix(pairs)):
         with pytest.raises(Exception, match="found label 7"):
             table.collect()
+
+
+def test_few_sums_reach_the_driver_whatever_the_tasks(spark, monkeypatch):
+    rows = spark.range(0, 48, 1, 12).selectExpr("cast(id % 2 as int) AS label", "cast(id AS double) AS x")
+    vectors = spark.createDataFrame(
+        [(r.label, Vectors.dense([r.x, 1.0])) for r in rows.collect()], ["label", "features"]
+    ).repartition(12)
+    blocks = logistic.sparse_blocks(vectors, "features", "label")
+    sent, collect = [], type(blocks).collect
+    monkeypatch.setattr(type(blocks), "collect", lambda df: sent.append(collect(df)) or sent[-1])
+    loss, slope = logistic.evaluate(blocks, 12, np.zeros((1, 2)), np.array([[-1.0, 1.0]]), [0, 1])
+    assert len(sent) == 1 and len(sent[0]) <= logistic.AT_DRIVER
+    assert loss[0] == pytest.approx(48 * math.log(2))
+    assert slope[0] == pytest.approx([-12.0, 0.0])
