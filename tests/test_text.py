@@ -135,3 +135,21 @@ def test_listed_tokens_are_dropped_in_order(spark):
     want = {1: ["b", "b", "c"], 2: [], 3: [], 4: [], 5: ["A", None]}
     for listed in (words, words.hint("shuffle_merge")):
         assert {r.id: r.tokens for r in drop_listed_tokens(docs, listed).collect()} == want
+
+
+def test_guards_and_folding_give_the_steps_results(spark):
+    texts = [
+        None, "", "ቀሰ፡x😂٣߂", "@http://a.b ሀለ #ሐመ", "ሀhttpለ www", "#@ሀ", "ሀ።ለ ሐ፤መ", "htt@ሀp://x ሀ", "ﬁ ሀ ＠ሀ ｗｗｗ.ሀ ለሐ",
+        " ሀ  ለ ", "እና ሀገር ለመ", "😀ዐ፥",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    listed = ["", *text.stopword_list()]
+    steps = text.strip_mentions(text.strip_urls(F.translate(
+        text.nfkc(F.coalesce("text", F.lit(""))), text._MAP_FROM, text._MAP_TO)))
+    spaced = F.regexp_replace(steps, f"[^{text.script.SCRIPT_PROFILES['ethiopic']}]+", " ")
+    plain = F.array_join(F.filter(F.split(spaced, " "), lambda t: ~t.isin(listed)), " ")
+    both = rows.select(text.clean_text("text").alias("a"), plain.alias("b"), text.normalize_chars("text").alias("c"),
+                       F.translate("text", text._MAP_FROM, text._MAP_TO).alias("d"))
+    for r in both.collect():
+        assert (r.a, r.c) == (r.b, r.d)
+    assert "translate(" not in rows.select(text.clean_text("text"))._jdf.queryExecution().toString()
