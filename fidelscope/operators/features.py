@@ -31,8 +31,8 @@ def counted_terms(column: str) -> Column:
     """
 
     def run_starts(words: Column) -> Column:
-        places = F.transform(words, lambda w, i: i + 1)
-        return F.filter(places, lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+        # Before the first word lies null.
+        return F.array_compact(F.transform(words, lambda w, i: F.when(~w.eqNullSafe(F.get(words, i - 1)), i + 1)))
 
     def runs(words: Column, starts: Column) -> Column:
         after = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words) + 1)
@@ -56,28 +56,13 @@ def term_freq(df: DataFrame, key: str = "id", column: str = "processed") -> Data
 def term_stats(df: DataFrame, column: str = "processed") -> DataFrame:
     """``term, df, cf``: texts that hold the term, and its occurrences, in one pass.
 
-    Each text emits its tokens and, marked, its distinct tokens; both are combined before the
+    Each text emits its distinct tokens and, behind them, its tokens; both are combined before the
     only shuffle, which therefore carries terms, not texts.
     """
-    words = feature_tokens(column)
-    return (
-        df.select(words.alias("words"))
-        .select(
-            F.explode(
-                F.concat(
-                    F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(0).alias("d"))),
-                    F.transform(
-                        F.array_distinct("words"),
-                        lambda w: F.struct(w.alias("term"), F.lit(1).alias("d")),
-                    ),
-                )
-            ).alias("e")
-        )
-        .groupBy(F.col("e.term").alias("term"))
-        .agg(
-            F.sum(F.col("e.d")).cast("bigint").alias("df"),
-            F.sum(1 - F.col("e.d")).cast("bigint").alias("cf"),
-        )
+    texts = df.select(feature_tokens(column).alias("words")).select("words", F.array_distinct("words").alias("once"))
+    every = texts.select(F.size("once").alias("n"), F.posexplode(F.concat("once", "words")).alias("place", "term"))
+    return every.groupBy("term").agg(
+        F.count_if(F.col("place") < F.col("n")).alias("df"), F.count_if(F.col("place") >= F.col("n")).alias("cf")
     )
 
 

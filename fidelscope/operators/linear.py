@@ -153,14 +153,16 @@ def predict_long(
         *(F.sum(F.when(F.col("class") == c, F.col("coef"))).alias(f"_w{c}") for c in classes)
     )
     known = vocab.select("term", "idf").join(wide, "term", "left")
-    raw = term_freq(df, key, column).join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # Read for the terms and for the rows without any; cleaned once.
+    texts = stage(df.select(key, column))
+    raw = term_freq(texts, key, column).join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
     sums = raw.groupBy(key).agg(
         F.count("w").alias("nnz"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
         *(F.sum(F.col("w") * F.col(f"_w{c}")).alias(f"_s{c}") for c in classes),
     )
     # Sums are combined before they move; rows without a known term keep their intercepts.
-    summed = df.select(key).join(sums, key, "left").fillna(0, ["nnz"])
+    summed = texts.select(key).join(sums, key, "left").fillna(0, ["nnz"])
     scores = F.array(
         *(
             F.lit(float(intercepts[c])) + F.coalesce(F.col(f"_s{c}") / F.col("_norm"), F.lit(0.0))

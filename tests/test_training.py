@@ -244,3 +244,20 @@ def test_the_registered_fit_reads_a_cleaned_corpus(spark, monkeypatch):
     queries.m8_fit_ovr(spark, "")
     assert "translate(" not in given[0]._jdf.queryExecution().toString()
     assert sorted(r.id for r in given[0].collect()) == [1, 3]
+
+
+def test_long_prediction_reads_its_texts_once(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "zz"), (3, ""), (None, "aa"), (4, "bb"), (4, "aa")], "id long, processed string")
+    vocab = spark.createDataFrame([("AA", 1.0), ("BB", 2.0)], "term string, idf double")
+    weights = spark.createDataFrame([(0, "AA", 1.0), (1, "BB", 1.0)], "class int, term string, coef double")
+    upper = df.withColumn("processed", F.upper("processed")).withColumn("processed", F.lower("processed"))
+    scored = linear.predict_long(upper, vocab.withColumn("term", F.lower("term")), weights.withColumn("term", F.lower("term")), {0: 0.0, 1: 0.5})
+    assert "upper(" not in scored._jdf.queryExecution().toString()
+    assert sorted((r.id or 0, r.nnz) for r in scored.collect()) == [(0, 0), (1, 2), (2, 0), (3, 0), (4, 2), (4, 2)]
+
+
+def test_term_stats_make_no_struct_per_token(spark):
+    df = spark.createDataFrame([("aa bb aa",), ("aa",), ("",), (None,)], "processed string")
+    stats = features.term_stats(df)
+    assert sorted(stats.collect()) == [("aa", 2, 3), ("bb", 1, 1)]
+    assert "struct(" not in stats._jdf.queryExecution().optimizedPlan().toString()
