@@ -311,18 +311,23 @@ def train(toxic: list[str], counted: list[tuple[str, np.ndarray]]) -> ToxicityMo
     among = kernel_matrix(model, landmarks)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3))
-    x = np.c_[kernel_matrix(model, names) @ root, np.ones(len(names))]
-    x, y = np.r_[x, x], np.r_[np.ones(len(names)), -np.ones(len(names))]
-    weight = np.r_[np.log1p(bad), np.log1p(good)]
-    # Far words have no kernel at all; one stands for them, so that the bias is clean.
-    far = np.r_[np.zeros(len(landmarks)), 1.0]
-    x, y, weight = np.r_[x, [far]], np.r_[y, -1.0], np.r_[weight, weight.sum()]
+    # The last word's kernel is nothing: it stands for all far words, so that the bias is clean.
+    x = np.zeros((len(names) + 1, len(landmarks) + 1))
+    x[:, -1] = 1.0
+    parts = [slice(a, min(a + 2_000, len(names))) for a in range(0, len(names), 2_000)]
+    for part in parts:
+        x[part, :-1] = kernel_matrix(model, names[part]) @ root
+    toxic_weight, clean_weight = np.r_[np.log1p(bad), 0.0], np.log1p(good)
+    clean_weight = np.r_[clean_weight, toxic_weight.sum() + clean_weight.sum()]
+    parts.append(slice(len(names), len(x)))
     w = np.zeros(x.shape[1])
     ridge = 0.05 * np.eye(len(w))
     for _ in range(30):
-        active = (y * (x @ w) < 1) & (weight > 0)
-        a = x[active] * weight[active, None]
-        new = np.linalg.solve(a.T @ x[active] + ridge, a.T @ y[active])
+        # Every word is a toxic and a clean row, but lies here once, and no step copies them all.
+        score = x @ w
+        up, down = toxic_weight * (score < 1), clean_weight * (-score < 1)
+        curve = sum((x[part].T * (up + down)[part]) @ x[part] for part in parts)
+        new = np.linalg.solve(curve + ridge, x.T @ (up - down))
         if np.allclose(new, w, atol=1e-8):
             break
         w = new

@@ -125,3 +125,23 @@ def test_margins_against_plain_scoring():
     for _ in range(2):
         margins, worst = model.worst(texts)
         assert margins.tolist() == [pytest.approx(m) for m, _ in want] and worst == [w for _, w in want]
+
+
+def test_the_fit_holds_its_words_once():
+    import random
+    import tracemalloc
+
+    from fidelscope.llm.toxicity import train
+
+    rng = random.Random(1)
+    toxic = sorted({"".join(rng.choices("abcdefgh", k=6)) for _ in range(150)})
+    words = sorted({"".join(rng.choices("abcdefgh", k=6)) for _ in range(12_000)})
+    counted = [(w, np.array([rng.randrange(5), rng.randrange(9)], float)) for w in words]
+    tracemalloc.start()
+    try:
+        model = train(toxic, counted)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Before, the peak was seven times the words' matrix.
+    assert peak < 3 * len(words) * len(model.landmarks) * 8
