@@ -223,15 +223,14 @@ def buckets(reps: DataFrame) -> DataFrame:
 def open_members(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Members with their component, of the buckets that still hold more than one.
 
-    ``outside`` tells those that are not in the component of the bucket's best member.
+    ``outside`` tells those that are not in the component of the bucket's best member.  Without
+    ``parts`` every member is a component of its own, and all buckets are open.  Components only grow, so
+    a bucket left out stays so: ``members`` may be what an earlier round found open.
     """
+    members = members.select("key", "rep", "n_shingles", "degree")
     if parts is None:
-        members = members.withColumn("component", F.col("rep"))
-    else:
-        members = members.join(parts, "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-    members = stage(members)
+        return members.withColumn("component", F.col("rep"))
+    members = stage(members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     best = F.max(F.struct("degree", -F.col("rep"), "component"))
     groups = stage(members.groupBy("key").agg(
         best.alias("best"), F.count("*").alias("size"),
@@ -317,8 +316,9 @@ def links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
     sets = stage(sets_of(members.select("rep").distinct()))
     total = reps.count()
     edges = tested = parts = None
+    rest = members
     for number in range(STAR_ROUNDS + 1):
-        rest = open_members(members, parts)
+        rest = open_members(rest, parts)
         if number < STAR_ROUNDS:
             out = rest.where("outside") if number else rest
             best = F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "component", "n_shingles"))

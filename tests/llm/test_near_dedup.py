@@ -125,3 +125,28 @@ def test_pairs_of_a_template_do_not_grow_with_its_square(spark):
     # Every set is a component of its own here, so links themselves grow with the square; others do not.
     print(counts)
     assert counts[1] < 2000 * 2000 / 2 / 20
+
+
+def test_hot_keys_are_split_off_without_an_anti_join(spark):
+    from fidelscope.llm.common import join_by_key
+
+    rows = spark.createDataFrame([(k % 40 if k % 2 else 7, k) for k in range(400)] + [(None, 400), (99, 401)], "key BIGINT, v BIGINT")
+    groups = spark.createDataFrame([(k, 200 if k == 7 else 1, k * 10) for k in range(40)] + [(None, 300, 5)], "key BIGINT, n BIGINT, g BIGINT")
+    for total in (402, 200_001):  # key 7 is hot by the first, none by the second
+        for how in ("inner", "left"):
+            found = join_by_key(rows, groups, "key", "n", total, how)
+            assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+            want = rows.join(groups, "key", how)
+            assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_bucket_of_one_component_is_not_read_again(spark):
+    members = spark.createDataFrame([(k, r, 5, 3) for k, r in ((1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (3, 5))],
+                                    "key BIGINT, rep BIGINT, n_shingles BIGINT, degree BIGINT")
+    first = nd.open_members(members, None)
+    assert first.count() == 6
+    parts = spark.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 4)], "rep BIGINT, component BIGINT")
+    rest = nd.open_members(first, parts)
+    assert sorted((r.key, r.rep, r.component) for r in rest.collect()) == [(2, 2, 1), (2, 3, 3)]
+    done = spark.createDataFrame([(2, 1), (3, 1)], "rep BIGINT, component BIGINT")
+    assert nd.open_members(rest, done).count() == 0
