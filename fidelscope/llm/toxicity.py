@@ -134,31 +134,36 @@ class ToxicityModel:
         """Rows of words that are near any landmark, and their kernels with all landmarks."""
         if self.tables is None:
             row, feature, value = features(self.landmarks)
+            order = np.argsort(feature, kind="stable")
+            feature, holder, held = feature[order], row[order], value[order].astype(np.float32)
+            used, begin, holders = np.unique(feature, return_index=True, return_counts=True)
             slot = np.zeros(1 << 18, np.int32)
-            used = np.unique(feature)
             slot[used] = np.arange(1, len(used) + 1)
-            dense = np.zeros((len(used) + 1, len(self.landmarks)), np.float32)
-            dense[slot[feature], row] = value
-            bound = dense[:, : self.n_toxic].max(axis=1)
-            self.tables = slot, dense, bound, bound[slot]
-        slot, dense, bound, largest = self.tables
+            bound = np.zeros(len(used) + 1, np.float32)
+            toxic = holder < self.n_toxic
+            np.maximum.at(bound, slot[feature[toxic]], held[toxic])
+            # No landmark holds the subsequences of slot 0.
+            self.tables = slot, np.append(0, begin), np.append(0, holders), holder, held, bound, bound[slot]
+        slot, begin, holders, holder, held, bound, largest = self.tables
         # A little less than NEAR, for rounding.
         near = np.flatnonzero(reach(words, largest) >= NEAR - 1e-4)
         found = np.zeros((len(near), len(self.landmarks)), np.float32)
         if len(near):
             row, feature, value = features([words[i] for i in near])
-            far = np.bincount(row, value * bound[slot[feature]], len(near)) < NEAR
-            row, feature, value = (x[~far[row]] for x in (row, feature, value))
-            row = (np.cumsum(~far) - 1)[row]
-            near = near[~far]
-            found = found[: len(near)]
-            starts = np.searchsorted(row, np.arange(len(near) + 1))
-            for a in range(0, len(near), 256):
-                b = min(a + 256, len(near))
-                s = slice(starts[a], starts[b])
-                part = dense[slot[feature[s]]] * value[s, None].astype(np.float32)
-                found[a:b] = np.add.reduceat(part, starts[a:b] - starts[a], axis=0)
-        return near, found**POWER
+            at = slot[feature]
+            far = np.bincount(row, value * bound[at], len(near)) < NEAR
+            near, found = near[~far], found[: len(near) - far.sum()]
+            # Only landmarks that hold a subsequence are added up, in the order of subsequences.
+            some = ~far[row] & (at > 0)
+            row, value, at = (np.cumsum(~far) - 1)[row[some]], value[some].astype(np.float32), at[some]
+            starts = np.searchsorted(row, np.arange(0, len(near) + 256, 256))
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                n = holders[at[a:b]]
+                place = np.repeat(begin[at[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = np.repeat(row[a:b] * found.shape[1], n) + holder[place]
+                np.add.at(found.reshape(-1), cell, held[place] * np.repeat(value[a:b], n))
+        np.power(found, POWER, out=found, where=found > 0)
+        return near, found
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Signed distance of each plain word from the separating plane."""

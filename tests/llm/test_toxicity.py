@@ -145,3 +145,28 @@ def test_the_fit_holds_its_words_once():
         tracemalloc.stop()
     # Before, the peak was seven times the words' matrix.
     assert peak < 3 * len(words) * len(model.landmarks) * 8
+
+
+def test_kernels_touch_only_landmarks_that_share_a_subsequence():
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choices("abcdefghijklmnop", k=10)) for _ in range(656)})
+    rng.shuffle(words)
+    model = tx.ToxicityModel(words[:400], np.zeros(400), 0.0, 400)
+    near_copies = [w + "x" for w in words[:200]]
+    model.kernels(near_copies[:2])
+    tracemalloc.start()
+    try:
+        near, kernel = model.kernels(near_copies)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Before, every subsequence of a word met all landmarks: over 20 MB here.
+    assert peak < 8 << 20
+    sets = [by_force(w) for w in model.landmarks]
+    for i in (0, 57, 199):
+        own = by_force(near_copies[near[i]])
+        want = [sum(v * s.get(k, 0) for k, v in own.items()) ** tx.POWER for s in sets]
+        assert kernel[i] == pytest.approx(want, abs=1e-5)
