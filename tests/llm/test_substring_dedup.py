@@ -7,6 +7,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fidelscope.llm import substring_dedup as sd
@@ -42,6 +43,32 @@ def test_suffixes_are_in_order(seed):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_only_wanted_suffixes_and_what_places_them_are_sorted(seed):
+    rng = np.random.default_rng(seed)
+    text = rng.integers(1, 4, 6000).astype(np.uint16)
+    text[[*range(599, 6000, 600)]] = 0
+    text[700:1100] = text[1900:2300]
+    wanted = np.arange(6000) % 600 < 150
+    order = sd.suffix_array(text, 400, wanted)
+    found = set(order.tolist())
+    assert len(found) == len(order) < 0.3 * len(text) and found >= set(np.flatnonzero(wanted).tolist())
+    keys = [bytes(text[i : i + 400].astype(np.uint8)) for i in order if wanted[i]]
+    assert keys == sorted(keys)
+
+
+def test_leaders_whose_runs_have_several_places_are_not_sorted(monkeypatch):
+    rows = [(1, 2, b"a" * 410), (1, 3, b"b" * 405), (2, 1, b"c" * 401), (2, 4, b"c" * 400), (3, 2, b"d" * 400), (4, 1, b"efg" * 134)]
+    table = pa.table({
+        "leader": [r[0] for r in rows], "weight": [r[1] for r in rows], "windows": [len(r[2]) - 399 for r in rows],
+        "body": pa.array([r[2] for r in rows], pa.binary())})
+    sorted_, whole = [], sd.repeated_windows
+    monkeypatch.setattr(sd, "repeated_windows", lambda bodies, *a: sorted_.extend(bodies) or whole(bodies, *a))
+    found = sd.repeated_of_leaders(table, 400)
+    assert sorted_ == [rows[2][2], rows[3][2], rows[5][2]]
+    assert found.tolist() == [True] * (11 + 6 + 2 + 1 + 1) + [False] * 3
+
+
 def made_texts():
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdeé ") for _ in range(rnd.randint(2, 8)))
