@@ -1,6 +1,6 @@
 """Logistic losses of several classes over the same rows, minimised together.
 
-Rows lie as sparse blocks, one per Arrow batch.  One pass over them gives the loss and the gradient
+Rows lie as small sparse blocks.  One pass over them gives the loss and the gradient
 of every class, summed within each task and then through a tree, so the driver takes in a few sums
 a pass, however many tasks there are.  Each class takes its own quasi-Newton step from its pass; one pass is one iteration
 of all classes.
@@ -19,16 +19,22 @@ from pyspark.sql import functions as F
 
 #: Sums that one task of the tree adds up, and the driver: a sum has all weights, and every pass sends it.
 FAN_IN, AT_DRIVER = 64, 4
-#: Steps that a quasi-Newton direction remembers.
-MEMORY = 20
+#: Steps that a quasi-Newton direction remembers.  The more rows, the less the penalty evens the losses out, and with
+#: few steps kept the passes grow with the root of the rows; two vectors of all weights a step stay small on the driver.
+MEMORY = 200
+#: Rows of a block: its entries stay in the processor's cache, and no task holds large arrays.
+BLOCK_ROWS = 128
 BLOCK = "classes BINARY, sizes BINARY, places BINARY, values BINARY"
 
 
 def sparse_blocks(rows: DataFrame, features: str, label: str) -> DataFrame:
-    """``rows`` as blocks: labels, entries per row, and the entries' places and values."""
+    """``rows`` as blocks: labels, entries per row, and the entries' places and values.
+
+    Places have two bytes in blocks where that is enough, else four.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, BLOCK_ROWS) for b in batches for a in range(0, b.num_rows, BLOCK_ROWS)):
             vector = batch.column("v")
             values, places = vector.field("values"), vector.field("indices")
             sizes = np.diff(values.offsets.to_numpy()).astype(np.int32)
@@ -38,12 +44,31 @@ def sparse_blocks(rows: DataFrame, features: str, label: str) -> DataFrame:
             if dense.any():
                 parts = np.split(found, np.cumsum(np.where(dense, 0, sizes))[:-1])
                 found = np.concatenate([np.arange(n, dtype=np.int32) if d else p for n, d, p in zip(sizes, dense, parts, strict=True)])
+            found = found.astype(np.uint16) if found.max(initial=0) < 1 << 16 else found
             columns = [batch.column("c").to_numpy().astype(np.int32), sizes, found, values.flatten().to_numpy()]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], [c.split()[0] for c in BLOCK.split(", ")])
 
     return rows.select(F.col(label).cast("int").alias("c"), F.unwrap_udt(features).alias("v")).mapInArrow(run, BLOCK)
 
 
+def add_rows(
+    total: np.ndarray, weights: np.ndarray, cost: np.ndarray, size: np.ndarray, place: np.ndarray, value: np.ndarray
+) -> None:
+    """Add loss and gradient of every class over some rows to ``total``; ``cost`` has them by class and row."""
+    row = np.repeat(np.arange(len(size)), size)
+    full = np.flatnonzero(size)
+    first = (np.cumsum(size) - size)[full]
+    score = np.zeros(len(size))
+    for k, w in enumerate(weights):
+        if len(full):
+            score[full] = np.add.reduceat(w.take(place) * value, first)
+        margin = np.sign(cost[k]) * score
+        total[k, 0] += np.abs(cost[k]) @ np.logaddexp(0.0, -margin)
+        # The loss falls by this much per unit of a row's score.
+        pull = cost[k] * np.exp(-np.logaddexp(0.0, margin))
+        total[k, 1:] -= np.bincount(place, value * pull.take(row), weights.shape[1])
+
+
 def evaluate(blocks: DataFrame, parts: int, weights: np.ndarray, costs: np.ndarray, labels: Sequence[int]):
     """Loss and gradient of every class at its row of ``weights``, in one pass.
 
@@ -61,15 +86,9 @@ def evaluate(blocks: DataFrame, parts: int, weights: np.ndarray, costs: np.ndarr
         for batch in batches:
             for c, s, p, v in zip(*(batch.column(i) for i in range(4)), strict=True):
                 label, size = np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32)
-                place, value = np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float64)
-                row = np.repeat(np.arange(len(size)), size)
-                cost = costs[:, np.searchsorted(order, label)]
-                for k, w in enumerate(weights):
-                    margin = np.sign(cost[k]) * np.bincount(row, w[place] * value, len(size))
-                    total[k, 0] += np.abs(cost[k]) @ np.logaddexp(0.0, -margin)
-                    # The loss falls by this much per unit of a row's score.
-                    pull = cost[k] * np.exp(-np.logaddexp(0.0, margin))
-                    total[k, 1:] -= np.bincount(place, value * pull[row], weights.shape[1])
+                value = np.frombuffer(v.as_buffer(), np.float64)
+                place = np.frombuffer(p.as_buffer(), np.uint16 if len(p.as_buffer()) == 2 * len(value) else np.int32)
+                add_rows(total, weights, costs[:, np.searchsorted(order, label)], size, place.astype(np.intp), value)
         return add(total)
 
     def merge(batches):
@@ -161,10 +180,12 @@ def minimise(
     parts = blocks.rdd.getNumPartitions()
     fits = [Descent(np.zeros(width), tol) for _ in costs]
     for _ in range(max_iter + 1):
-        trials = np.stack([fit.trial for fit in fits])
-        losses, slopes = evaluate(blocks, parts, trials, costs, labels)
-        for fit, w, loss, slope in zip(fits, trials, losses, slopes, strict=True):
-            fit.take(loss + penalty / 2 * (w @ w), slope + penalty * w)
-        if all(fit.done for fit in fits):
+        # A class at its minimum needs no more passes.
+        open_ = [k for k, fit in enumerate(fits) if not fit.done]
+        if not open_:
             break
+        trials = np.stack([fits[k].trial for k in open_])
+        losses, slopes = evaluate(blocks, parts, trials, costs[open_], labels)
+        for k, w, loss, slope in zip(open_, trials, losses, slopes, strict=True):
+            fits[k].take(loss + penalty / 2 * (w @ w), slope + penalty * w)
     return np.stack([fit.point for fit in fits])

@@ -261,3 +261,58 @@ def test_term_stats_make_no_struct_per_token(spark):
     stats = features.term_stats(df)
     assert sorted(stats.collect()) == [("aa", 2, 3), ("bb", 1, 1)]
     assert "struct(" not in stats._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_descent_remembers_enough_steps_for_many_rows():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2_000, 120)) * np.logspace(1, -0.5, 120)
+    sign = np.sign(x @ rng.normal(size=120) + 20 * rng.normal(size=2_000))
+    fit = logistic.Descent(np.zeros(120), 1e-6)
+    for passes in range(500):
+        if fit.done:
+            break
+        w = fit.trial
+        pull = sign / (1 + np.exp(sign * (x @ w)))
+        fit.take(np.logaddexp(0, -sign * (x @ w)).sum() + w @ w / 2, w - x.T @ pull)
+    assert fit.done and passes < 150
+
+
+def test_blocks_are_small_and_hold_every_row(spark):
+    """Rows without entries, places beyond two bytes and more rows than a block has."""
+    rng = np.random.default_rng(2)
+    n, wide = 300, 70_000
+    places = [sorted(rng.choice(wide if i > 200 else 50, 3 * (i % 7 > 0), replace=False).tolist()) for i in range(n)]
+    frame = spark.createDataFrame(
+        [(i % 2, Vectors.sparse(wide, p, rng.normal(size=len(p)).tolist())) for i, p in enumerate(places)], ["label", "features"]
+    ).coalesce(1)
+    blocks = logistic.sparse_blocks(frame, "features", "label")
+    rows = blocks.collect()
+    assert [len(r.classes) // 4 for r in rows] == [128, 128, 44]
+    assert [len(r.places) * 8 // len(r.values) for r in rows] == [2, 4, 4]
+    w = rng.normal(size=(1, wide))
+    loss, slope = logistic.evaluate(blocks, 1, w, np.array([[-1.0, 2.0]]), [0, 1])
+    expected, gradient = 0.0, np.zeros(wide)
+    for r in frame.collect():
+        sign, cost = (1, 2.0) if r.label else (-1, 1.0)
+        score = w[0, r.features.indices] @ r.features.values
+        expected += cost * np.logaddexp(0, -sign * score)
+        gradient[r.features.indices] -= cost * sign * r.features.values / (1 + np.exp(sign * score))
+    assert loss[0] == pytest.approx(expected) and np.allclose(slope[0], gradient)
+
+
+def test_classes_at_their_minimum_are_not_passed_over_again(monkeypatch):
+    given = []
+
+    class Blocks:
+        class rdd:
+            getNumPartitions = staticmethod(lambda: 1)
+
+    def evaluate(blocks, parts, weights, costs, labels):
+        given.append(costs[:, 0].tolist())
+        # The first class has its minimum where it starts, the second one beside it.
+        return np.array([(w[0] - c) ** 2 for w, c in zip(weights, costs[:, 0])]), np.array([2 * (w - c) for w, c in zip(weights, costs[:, 0])])
+
+    monkeypatch.setattr(logistic, "evaluate", evaluate)
+    found = logistic.minimise(Blocks, 1, np.array([[0.0], [3.0]]), [0], 0.0, 1e-6, 50)
+    assert np.allclose(found, [[0.0], [3.0]])
+    assert given[0] == [0.0, 3.0] and given[1:] == [[3.0]] * (len(given) - 1) and len(given) > 2

@@ -56,8 +56,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled corpus ``id, text, label`` with codes as text."""
     label = F.when(F.col("toxic") == 1, "1").when(F.col("quality") == 0, "2").otherwise("0")
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Dealt out behind the join, so only labelled texts are.
+    joined = spread(docs.join(table(spark, sf_dir, "labels"), "doc_id"))
     return joined.select(
         F.col("doc_id").alias("id"), fidel("text").alias("text"), label.alias("label")
     )
